@@ -46,8 +46,10 @@ def quoted(name: str) -> Column:
 def present_value(df: DataFrame, name: str, nan_is_missing: bool = True) -> Column:
     """The column with NaN turned into null where NaN counts as missing."""
     column = quoted(name)
-    if nan_is_missing and isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(column), column)
+    data_type = df.schema[name].dataType
+    if nan_is_missing and isinstance(data_type, (T.FloatType, T.DoubleType)):
+        # One reference to the column, so that chained steps stay one flat expression.
+        return F.nanvl(column, F.lit(None).cast(data_type))
     return column
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.specs import spec_struct
@@ -25,34 +25,45 @@ def _text(value: Column) -> Column:
     return F.when(is_text, F.try_variant_get(value, "$", "string"))
 
 
-def reply_object(raw: Column) -> Column:
-    """The reply's JSON object as a variant: whole text, fenced block, or first braces.
+def with_reply_object(df: DataFrame, raw: str, output: str = "found") -> DataFrame:
+    """Add the reply's JSON object as a variant: whole text, fenced block, or first braces.
 
-    A whole text that is JSON but not an object gives null, as broken text does.
+    A whole text that is JSON but not an object gives null, as broken text does. Each
+    stage is a column of its own, so a text is searched and parsed once.
     """
-    whole = F.try_parse_json(F.trim(raw))
-    fenced = F.try_parse_json(F.regexp_extract(raw, FENCED, 1))
-    braced = F.try_parse_json(F.regexp_extract(raw, BRACED, 0))
-    found = F.coalesce(whole, fenced, braced)
-    return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
-
-
-def spec_of_object(found: Column) -> Column:
-    """Specification struct from a JSON object; fields of the wrong type become null."""
-    steps = F.try_variant_get(found, "$.preprocessing", "array<variant>")
-    parameters = F.try_variant_get(found, "$.hyperparameters", "map<string,variant>")
-    numbers = F.transform_values(parameters, lambda name, value: _number(value))
-    return F.when(
-        found.isNotNull(),
-        spec_struct(
-            F.filter(F.transform(steps, _text), lambda step: step.isNotNull()),
-            _text(F.try_variant_get(found, "$.model", "variant")),
-            F.map_filter(numbers, lambda name, value: value.isNotNull()),
-            _text(F.try_variant_get(found, "$.reasoning", "variant")),
-        ),
+    text = F.col(raw)
+    candidates = F.coalesce(
+        F.try_parse_json(F.trim(text)),
+        F.try_parse_json(F.regexp_extract(text, FENCED, 1)),
+        F.try_parse_json(F.regexp_extract(text, BRACED, 0)),
     )
+    found = F.col("_found")
+    is_object = F.schema_of_variant(found).startswith("OBJECT")
+    return df.withColumn("_found", candidates).withColumn(output, F.when(is_object, found)).drop("_found")
 
 
-def parse_spec(raw: Column) -> Column:
-    """Specification held by a reply text, or null."""
-    return spec_of_object(reply_object(raw))
+def parse_spec(df: DataFrame, raw: str, output: str = "spec") -> DataFrame:
+    """Add the specification a reply text holds, or null.
+
+    Fields of the wrong type become null, list entries and parameters of the wrong type
+    are left out.
+    """
+    fields = with_reply_object(df, raw, "_object").withColumns(
+        {
+            "_steps": F.try_variant_get("_object", "$.preprocessing", "array<variant>"),
+            "_parameters": F.try_variant_get("_object", "$.hyperparameters", "map<string,variant>"),
+            "_model": F.try_variant_get("_object", "$.model", "variant"),
+            "_reasoning": F.try_variant_get("_object", "$.reasoning", "variant"),
+        }
+    )
+    steps = F.filter(F.transform("_steps", _text), lambda step: step.isNotNull())
+    numbers = F.transform_values("_parameters", lambda name, value: _number(value))
+    spec = spec_struct(
+        steps,
+        _text(F.col("_model")),
+        F.map_filter(numbers, lambda name, value: value.isNotNull()),
+        _text(F.col("_reasoning")),
+    )
+    return fields.withColumn(output, F.when(F.col("_object").isNotNull(), spec)).drop(
+        "_object", "_steps", "_parameters", "_model", "_reasoning"
+    )

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.operators.analysis import AGENT, BASELINES
 from tablewright.operators.ranking import distributed_rank, running_totals
@@ -103,7 +104,7 @@ def _exact_p(w: float, n: int) -> float:
     return min(1.0, 2.0 * ways[: int(w) + 1].sum() / 2.0**n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_value(w: pd.Series, z: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
     # A handful of aggregated rows, one per comparison; SQL has no error function.
     return pd.Series(

@@ -13,18 +13,24 @@ MAIN_METHODS = [*analysis.BASELINES, analysis.AGENT]
 
 def analysis_report(
     results: DataFrame,
-    log: DataFrame | None = None,
     lower_is_better: Column | None = None,
+    log: DataFrame | None = None,
     **options,
 ) -> dict[str, DataFrame]:
     """Main results, paired tests, ablation, and decisions where a log is given.
 
-    ``results`` carries ``primary``. Paired tests use macro F1, hence classification rows.
+    ``results`` carries ``primary``; ``lower_is_better`` marks its rows whose primary
+    metric is an error. Paired tests use macro F1, hence classification rows.
     """
+    pivot = analysis.method_pivot(results, MAIN_METHODS)
+    by_error = None
+    if lower_is_better is not None:
+        marks = results.groupBy("dataset").agg(F.bool_or(lower_is_better).alias("_by_error"))
+        pivot = pivot.join(marks, "dataset")
+        by_error = F.col("_by_error")
+    main = analysis.best_baseline_delta(pivot, by_error, analysis.BASELINES)
     tables = {
-        "main_results": analysis.best_baseline_delta(
-            analysis.method_pivot(results, MAIN_METHODS), lower_is_better
-        ),
+        "main_results": main.drop("_by_error"),
         "paired_tests": stats.comparison_table(
             stats.paired_differences(stats.pair_scores(results, **options)), **options
         ),
