@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import rules
 from tablewright.functions.kinds import CATEGORICAL, columns_of_kind
 from tablewright.operators.metrics import metrics_row, score_array
-from tablewright.operators.prep import encode_target
+from tablewright.operators.prep import CategoryEncoder, encode_target
 from tablewright.operators.profile import CLASSIFICATION, drop_null_target, profile
 from tablewright.operators.splits import (
     FOLDS,
@@ -30,7 +30,7 @@ from tablewright.operators.splits import (
 )
 from tablewright.plans.pipelines import build_pipeline, stage_count
 from tablewright.schemas import PROFILE, RESULT, SCALING, conform
-from tablewright.session import fresh_path
+from tablewright.session import fresh_path, spread
 from tablewright.sources.writers import append_results, read_results, store_profiles, unstored
 
 logger = logging.getLogger(__name__)
@@ -99,7 +99,7 @@ def profiles_for(
 
 def prepare(task: TableTask) -> tuple[DataFrame, list[str], int | None]:
     """The task's rows with a numeric ``label``; its text features; its class count."""
-    rows = drop_null_target(task.table, task.target)
+    rows = drop_null_target(spread(task.table, list(task.keys)), task.target)
     labelled, codes = encode_target(rows, task.target, task.task_type)
     categories = [
         name
@@ -131,13 +131,19 @@ def run_one(
     n_labels: int | None,
     fold: int | None = None,
     fixed_preprocessing: bool = False,
+    coded: bool = False,
 ) -> dict:
-    """Fit, time and score one pipeline. A failure leaves a row of nulls, and a log line."""
+    """Fit, time and score one pipeline. A failure leaves a row of nulls, and a log line.
+
+    ``coded`` says that the rows went through ``code_categories`` already.
+    """
     row: dict = {"run_id": str(uuid.uuid4()), "dataset": task.name, "method": method, "fold": fold}
     try:
         exclude = [*task.keys, "fold"]
         key = task.keys[0] if len(task.keys) == 1 else None
-        pipeline: Pipeline = build_pipeline(spec, exclude, categories, key, fixed_preprocessing)
+        pipeline: Pipeline = build_pipeline(
+            spec, exclude, categories, key, fixed_preprocessing, coded
+        )
         started = time.perf_counter()
         fitted = pipeline.fit(train)
         row["train_time_s"] = round(time.perf_counter() - started, 4)
@@ -165,6 +171,16 @@ def run_one(
     return row
 
 
+def code_categories(
+    train: DataFrame, test: DataFrame, categories: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Category codes learnt on the training rows, once for all methods of a fold."""
+    if not categories:
+        return train, test
+    encoder = CategoryEncoder(inputCols=categories).fit(train)
+    return encoder.transform(train), encoder.transform(test)
+
+
 def chosen_spec(profile_row: DataFrame, rule: str) -> dict:
     """The specification a rule set picks for a one-row profile table."""
     spec = rules.choose(profile_row, rule).select("spec.*").first()
@@ -176,6 +192,19 @@ def _record(spark: SparkSession, rows: list[dict], path: str) -> None:
     append_results(spark.createDataFrame(plain, RESULT), path)
 
 
+def _specs_of(
+    profiles: DataFrame, task: TableTask, methods: dict[str, str], overrides: dict[str, dict] | None
+) -> dict[str, dict]:
+    """Specification per method for one table, with any overrides applied."""
+    own_profile = profiles.filter(F.col("dataset_name") == task.name)
+    specs = {}
+    for method, rule in methods.items():
+        spec = chosen_spec(own_profile, rule)
+        changed = (overrides or {}).get(spec["model"], {})
+        specs[method] = {**spec, "hyperparameters": {**spec["hyperparameters"], **changed}}
+    return specs
+
+
 def _run_grid(
     spark: SparkSession,
     tasks: list[TableTask],
@@ -183,25 +212,26 @@ def _run_grid(
     methods: dict[str, str],
     path: str,
     overrides: dict[str, dict] | None = None,
-    fixed_preprocessing: dict[str, bool] | None = None,
+    fixed_methods: tuple[str, ...] = (),
 ) -> None:
     for task in tasks:
         rows, categories, n_labels = prepare(task)
         marked, folds = with_folds(rows, task)
         marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
-        own_profile = profiles.filter(F.col("dataset_name") == task.name)
-        for method, rule in methods.items():
-            spec = chosen_spec(own_profile, rule)
-            if overrides and spec["model"] in overrides:
-                spec["hyperparameters"] = {**spec["hyperparameters"], **overrides[spec["model"]]}
-            for fold in folds:
-                held = F.col("fold") == (0 if fold is None else fold)
-                result = run_one(
-                    task, method, spec, marked.filter(~held), marked.filter(held),
-                    categories, n_labels, fold,
-                    bool(fixed_preprocessing and fixed_preprocessing.get(method)),
-                )
-                _record(spark, [result], path)
+        specs = _specs_of(profiles, task, methods, overrides)
+        for fold in folds:
+            held = F.col("fold") == (0 if fold is None else fold)
+            train, test = code_categories(marked.filter(~held), marked.filter(held), categories)
+            # Appended fold by fold, so an interrupted job keeps what it has done.
+            _record(
+                spark,
+                [
+                    run_one(task, method, spec, train, test, categories, n_labels, fold,
+                            method in fixed_methods, coded=True)
+                    for method, spec in specs.items()
+                ],
+                path,
+            )
         marked.unpersist()
 
 
@@ -237,7 +267,7 @@ def run_ablation(
     profiles = profiles_for(spark, tasks, profiles_path, require=True)
     _run_grid(
         spark, tasks, profiles, ABLATIONS, results_path, overrides,
-        {"agent_model_only": fixed_preprocessing},
+        ("agent_model_only",) if fixed_preprocessing else (),
     )
     return read_results(spark, results_path)
 
@@ -260,14 +290,12 @@ def run_large_table(
     rows, categories, n_labels = prepare(task)
     marked, _ = with_folds(rows, task)
     marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = marked.filter("fold <> 0"), marked.filter("fold = 0")
-    for method, rule in (methods or METHODS).items():
-        spec = chosen_spec(profiles.filter(F.col("dataset_name") == task.name), rule)
-        if overrides and spec["model"] in overrides:
-            spec["hyperparameters"] = {**spec["hyperparameters"], **overrides[spec["model"]]}
+    train, test = code_categories(marked.filter("fold <> 0"), marked.filter("fold = 0"), categories)
+    for method, spec in _specs_of(profiles, task, methods or METHODS, overrides).items():
         sampled = sample_rows is not None and spec["model"] in sampled_models
         fit_rows = sample_n(train, list(task.keys), sample_rows, SEED) if sampled else train
-        _record(spark, [run_one(task, method, spec, fit_rows, test, categories, n_labels)], results_path)
+        done = run_one(task, method, spec, fit_rows, test, categories, n_labels, coded=True)
+        _record(spark, [done], results_path)
     marked.unpersist()
     return read_results(spark, results_path)
 

@@ -29,7 +29,10 @@ from tablewright.functions.specs import FALLBACK_REGRESSOR, MODEL_PARAMETERS
 from tablewright.operators.neighbors import knn_classify
 
 SEED = 42
-DEEPEST = 30  # MLlib's limit, the nearest there is to trees without a depth limit
+# Trees are grown level by level over all rows, each level holding statistics for every
+# open node, so trees without a limit are out of reach on large tables. ``max_depth``
+# may ask for up to 30.
+FOREST_DEPTH = 12
 TREE_MEMORY_MB = 1024
 
 
@@ -176,7 +179,7 @@ class Neighbors(_Supervised):
 
 
 def _forest(kind, subset: str) -> Callable[..., Estimator]:
-    def make(n_estimators=100, max_depth=DEEPEST, **_):
+    def make(n_estimators=100, max_depth=FOREST_DEPTH, **_):
         return kind(
             numTrees=int(n_estimators),
             maxDepth=int(max_depth),

@@ -48,17 +48,18 @@ def build_pipeline(
     categories: list[str] | None = None,
     key: str | None = None,
     fixed_preprocessing: bool = False,
+    coded: bool = False,
 ) -> Pipeline:
     """Category coding, the steps, vector assembly and the model as one Pipeline.
 
     ``exclude`` names the columns that are not features: label, keys, split marks.
-    ``categories`` are the text features.
+    ``categories`` are the text features; with ``coded`` they hold codes already.
     """
     categories = list(categories or [])
     excluded = sorted({*exclude, "label"})
     steps = FIXED_STEPS if fixed_preprocessing else resolved_steps(spec)
     stages: list = []
-    if categories:
+    if categories and not coded:
         stages.append(CategoryEncoder(inputCols=categories))
     stages += [STEPS[name](excluded, categories) for name in steps]
     stages.append(Assemble(excludeCols=excluded))

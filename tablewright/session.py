@@ -67,3 +67,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash the rows of a table with too few partitions over all cores.
+
+    Model fits pass over their rows many times; one small file would keep them on one
+    core. A table that already has a partition per core is left alone. Call it on a
+    table as read: counting the partitions of a plan with shuffles would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
