@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -400,26 +401,35 @@ def _feature_inputs(stage: _Columns, df: DataFrame) -> list[str]:
 
 
 class PcaModel(Model):
-    def __init__(self, inputs=(), means=(), model=None, k=0, explained=()):
+    """Projects onto the kept components; ``offset`` moves the origin to the mean."""
+
+    def __init__(self, inputs=(), model=None, offset=(), k=0, explained=()):
         super().__init__()
-        self.inputs, self.means, self.model = list(inputs), list(means), model
+        self.inputs, self.model, self.offset = list(inputs), model, list(offset)
         self.k, self.explained = k, list(explained)
 
     def _transform(self, dataset):
-        centred = dataset.withColumns(
-            {n: quoted(n).cast("double") - F.lit(m) for n, m in self.means}
-        )
-        assembled = VectorAssembler(inputCols=self.inputs, outputCol="_pca_in").transform(centred)
+        assembled = _as_vector(dataset, self.inputs, "_pca_in")
         projected = self.model.transform(assembled).withColumn("_pca", vector_to_array("_pca_out"))
-        components = {f"pc_{i + 1}": F.col("_pca")[i] for i in range(self.k)}
+        components = {f"pc_{i + 1}": F.col("_pca")[i] - F.lit(self.offset[i]) for i in range(self.k)}
         return projected.withColumns(components).drop(*self.inputs, "_pca_in", "_pca_out", "_pca")
 
 
+def _as_vector(df: DataFrame, inputs: list[str], output: str) -> DataFrame:
+    doubles = {
+        name: quoted(name).cast("double")
+        for name in inputs
+        if not isinstance(df.schema[name].dataType, VectorUDT)
+    }
+    return VectorAssembler(inputCols=inputs, outputCol=output).transform(df.withColumns(doubles))
+
+
 class PcaStep(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
     """Smallest number of components whose explained share exceeds ``share``.
 
-    The columns are centred first. The fit reads the table once for the covariance and
-    keeps every component; the cut is made on the cumulative explained share.
+    The covariance does not depend on the origin, so the rows are projected as they are
+    and the projected mean is taken off afterwards. The fit keeps every component and
+    cuts on the cumulative explained share.
     """
 
     share = Param(Params._dummy(), "share", "explained share to exceed", TypeConverters.toFloat)
@@ -431,23 +441,17 @@ class PcaStep(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable)
         self._set(share=share)
 
     def _fit(self, dataset):
-        plain = self.features(dataset)
         inputs = _feature_inputs(self, dataset)
-        (means,) = _aggregate(dataset, plain, F.avg)
-        pairs = list(zip(plain, means))
-        centred = dataset.select(
-            *[(quoted(n).cast("double") - F.lit(m)).alias(n) if n in dict(pairs) else quoted(n)
-              for n in inputs for m in [dict(pairs).get(n)]]
-        )
-        assembled = VectorAssembler(inputCols=inputs, outputCol="_pca_in").transform(centred)
-        size = assembled.select(F.size(vector_to_array("_pca_in"))).first()[0]
-        model = MlPca(k=size, inputCol="_pca_in", outputCol="_pca_out").fit(assembled.select("_pca_in"))
+        vectors = _as_vector(dataset.select(*[quoted(name) for name in inputs]), inputs, "_pca_in")
+        mean = vectors.select(Summarizer.mean(F.col("_pca_in"))).first()[0].toArray()
+        model = MlPca(k=len(mean), inputCol="_pca_in", outputCol="_pca_out").fit(vectors.select("_pca_in"))
         explained = [float(v) for v in model.explainedVariance.toArray()]
         total, k = 0.0, 0
-        while k < size and total <= self.getOrDefault("share"):
+        while k < len(mean) and total <= self.getOrDefault("share"):
             total += explained[k]
             k += 1
-        return PcaModel(inputs, pairs, model, k, explained)
+        offset = [float(v) for v in model.pc.toArray().T @ mean]
+        return PcaModel(inputs, model, offset, k, explained)
 
 
 class Assemble(Transformer, _Columns, DefaultParamsReadable, DefaultParamsWritable):
@@ -462,13 +466,7 @@ class Assemble(Transformer, _Columns, DefaultParamsReadable, DefaultParamsWritab
         self._set(outputCol=outputCol)
 
     def _transform(self, dataset):
-        inputs = _feature_inputs(self, dataset)
-        as_double = dataset.withColumns(
-            {n: quoted(n).cast("double") for n in self.features(dataset)}
-        )
-        return VectorAssembler(
-            inputCols=inputs, outputCol=self.getOrDefault("outputCol")
-        ).transform(as_double)
+        return _as_vector(dataset, _feature_inputs(self, dataset), self.getOrDefault("outputCol"))
 
 
 def cast_features(df: DataFrame, columns: list[str]) -> DataFrame:
