@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import quoted
 from tablewright.operators.splits import row_digest
+from tablewright.session import materialize
 
 BLOCK_ROWS = 4096
 PIVOTS = 64
@@ -106,7 +107,8 @@ def nearest_neighbors(
         quoted(key).alias("_tid"), quoted(vector).alias("_v"), quoted(label).alias("_label")
     )
     centres = choose_pivots(train, key, vector, pivots)
-    celled = _with_cell(base, centres)
+    # Read twice below; written once, the distances to the pivots are computed once.
+    celled = materialize(_with_cell(base, centres), "cells")
     counts, radii = np.zeros(len(centres)), np.zeros(len(centres))
     # One row per pivot, a fixed number.
     for row in celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("r")).collect():

@@ -30,7 +30,7 @@ from tablewright.operators.splits import (
 )
 from tablewright.plans.pipelines import build_pipeline, stage_count
 from tablewright.schemas import PROFILE, RESULT, SCALING, conform
-from tablewright.session import fresh_path, spread
+from tablewright.session import fresh_path, materialize, spread
 from tablewright.sources.writers import append_results, read_results, store_profiles, unstored
 
 logger = logging.getLogger(__name__)
@@ -152,9 +152,11 @@ def run_one(
         kept = [F.col("label"), F.col("prediction")]
         if scores is not None:
             kept.append(scores.alias("scores"))
+        # Several aggregates read the predictions; the model runs over the rows once.
+        predicted = materialize(scored.select(*kept), "predicted")
         row.update(
             metrics_row(
-                scored.select(*kept),
+                predicted,
                 task.task_type,
                 "label",
                 "prediction",
