@@ -274,23 +274,35 @@ def category_codes(df: DataFrame, name: str, as_text: Column | None = None, **op
     return ordered.select("value", F.col("one_before").cast("double").alias("code"))
 
 
+def all_category_codes(df: DataFrame, names: list[str], **options) -> DataFrame:
+    """(column, value, code) of several text columns, learnt in one pass."""
+    cells = F.array(
+        *[F.struct(F.lit(name).alias("column"), category_text(name).alias("value")) for name in names]
+    )
+    distinct = df.select(F.inline(cells)).distinct().withColumn("one", F.lit(1).cast("long"))
+    ordered = running_totals(distinct, ["value"], ["one"], ["column"], **options)
+    return ordered.select("column", "value", F.col("one_before").cast("double").alias("code"))
+
+
 class CategoryModel(Model):
     """Replaces categories by their codes; a value not seen in training becomes -1.
 
-    The code table is read back from the shared folder: small ones are broadcast by
-    their measured size, large ones shuffled.
+    The code table is read back from the shared folder: a small one is broadcast by
+    its measured size, a large one shuffled.
     """
 
-    def __init__(self, mappings: dict[str, DataFrame] | None = None):
+    def __init__(self, names=(), codes: DataFrame | None = None):
         super().__init__()
-        self.mappings = mappings or {}
+        self.names, self.codes = list(names), codes
 
     def _transform(self, dataset):
         order = dataset.columns
-        for name, codes in self.mappings.items():
-            renamed = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        for name in self.names:
+            own = self.codes.filter(F.col("column") == name).select(
+                F.col("value").alias("_value"), F.col("code").alias("_code")
+            )
             dataset = (
-                dataset.join(renamed, category_text(name) == F.col("_value"), "left")
+                dataset.join(own, category_text(name) == F.col("_value"), "left")
                 .withColumn(name, F.coalesce("_code", F.lit(-1.0)))
                 .drop("_value", "_code")
             )
@@ -312,12 +324,10 @@ class CategoryEncoder(Estimator, _Columns, DefaultParamsReadable, DefaultParamsW
         return columns_of_kind(df, [c for c in df.columns if c not in skipped], CATEGORICAL)
 
     def _fit(self, dataset):
-        return CategoryModel(
-            {
-                name: materialize(category_codes(dataset, name), "codes")
-                for name in self.text_columns(dataset)
-            }
-        )
+        names = self.text_columns(dataset)
+        if not names:
+            return CategoryModel()
+        return CategoryModel(names, materialize(all_category_codes(dataset, names), "codes"))
 
 
 def encode_target(
