@@ -39,7 +39,7 @@ def filter_methods(
         kept = kept.filter(F.col("method").isin(methods))
     if datasets is not None:
         kept = kept.filter(F.col("dataset").isin(datasets))
-    return kept.dropna(subset=[score]) if score else kept
+    return kept.filter(F.col(score).isNotNull()) if score else kept
 
 
 def list_methods(results: DataFrame) -> DataFrame:

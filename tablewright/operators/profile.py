@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.kinds import (
     CATEGORICAL,
@@ -25,7 +26,11 @@ COLUMNS_PER_PASS = 100
 
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
-    return df.dropna(subset=[target])
+    """Rows with a target. The null test is stated so that it reaches the file scan."""
+    kept = df.filter(quoted(target).isNotNull())
+    if isinstance(df.schema[target].dataType, (T.FloatType, T.DoubleType)):
+        kept = kept.filter(~F.isnan(quoted(target)))
+    return kept
 
 
 def split_features_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:

@@ -65,25 +65,29 @@ def running_totals(
     if ranges is None:
         ranges = min(MAX_RANGES, max(1, ceil(table.count() / rows_per_range)))
     split = with_range(table, order[0], ranges)
-    cell = [*groups, "_range"]
-    inside = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # The cell as one struct: null groups compare equal, and the window and the join
+    # below share one shuffle because both hash the same column. No field is a floating
+    # number, which either would normalise in its own way and shuffle again.
+    split = split.withColumn("_range", F.col("_range").cast("int"))
+    split = split.withColumn("_cell", F.struct(*groups, "_range"))
+    inside = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = split.withColumns(
         {f"{w}_before": F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights}
     )
     if ranges == 1:
-        return ranked.drop("_range")
+        return ranked.drop("_range", "_cell")
     # At most `ranges` rows per group reach this window.
     earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = split.groupBy(*cell).agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+    totals = split.groupBy(*groups, "_range").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
     offsets = totals.select(
-        *[F.col(name).alias(f"_o_{name}") for name in cell],
-        *[F.coalesce(F.sum(f"_t_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}_total") for w in weights],
+        F.struct(*groups, "_range").alias("_cell"),
+        *[F.coalesce(F.sum(f"_t_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights],
+    )
+    return (
+        ranked.join(offsets, "_cell")
+        .withColumns({f"{w}_before": F.col(f"{w}_before") + F.col(f"_o_{w}") for w in weights})
+        .select(*table.columns, *[f"{w}_before" for w in weights])
     )
-    same = [F.col(name).eqNullSafe(F.col(f"_o_{name}")) for name in cell]
-    joined = ranked.join(offsets, same)
-    return joined.withColumns(
-        {f"{w}_before": F.col(f"{w}_before") + F.col(f"_o_{w}_total") for w in weights}
-    ).select(*table.columns, *[f"{w}_before" for w in weights])
 
 
 def value_ranks(
@@ -97,6 +101,13 @@ def value_ranks(
     )
 
 
+def _exact_key(df: DataFrame, value: str) -> Column:
+    """The value in a form that hashes and compares without floating point rules."""
+    if isinstance(df.schema[value].dataType, (T.FloatType, T.DoubleType)):
+        return (F.col(value) + F.lit(0.0)).cast("string")  # adding 0 makes -0 a plain 0
+    return F.col(value)
+
+
 def distributed_rank(
     df: DataFrame,
     value: str,
@@ -112,16 +123,21 @@ def distributed_rank(
     the rows ordered together stay few however uneven the values are.
     """
     groups = groups or []
-    keyed = df.withColumns({"_digest": F.md5(tie.cast("string"))}).withColumn(
+    keyed = df.withColumn("_digest", F.md5(tie.cast("string"))).withColumn(
         "_part", F.substring("_digest", 1, tie_digits)
     )
     cell = [*groups, value, "_part"]
     counts = keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
     totals = running_totals(counts, [value, "_part"], ["n"], groups, **options)
-    totals = totals.select(*[F.col(name).alias(f"_t_{name}") for name in cell], "n_before")
-    same = [F.col(name).eqNullSafe(F.col(f"_t_{name}")) for name in cell]
-    inside = Window.partitionBy(*cell).orderBy("_digest")
-    ranked = keyed.join(totals, same).withColumn(
-        output, F.col("n_before") + F.row_number().over(inside)
+    key = F.struct(*groups, _exact_key(df, value).alias("_value"), "_part")
+    offsets = totals.select(key.alias("_cell"), "n_before")
+    inside = Window.partitionBy("_cell").orderBy("_digest")
+    # One shuffle of the rows serves both the window and the join: the cast gives both
+    # sides the same field nullability, without which the join would shuffle again.
+    typed = key.cast(offsets.schema["_cell"].dataType)
+    numbered = keyed.withColumn("_cell", typed).withColumn(
+        "_place", F.row_number().over(inside)
     )
-    return ranked.select(*df.columns, output)
+    return numbered.join(offsets, "_cell").withColumn(
+        output, F.col("n_before") + F.col("_place")
+    ).select(*df.columns, output)

@@ -33,7 +33,7 @@ def pair_scores(
     ranges of time, and the join keys are unique on either side: no group is collected.
     """
     baselines = baselines or BASELINES
-    kept = results.filter(F.col("method").isin([agent, *baselines])).dropna(subset=[score])
+    kept = results.filter(F.col("method").isin([agent, *baselines]) & F.col(score).isNotNull())
     moment = F.unix_micros(F.col(order).cast("timestamp")).cast("double")
     runs = distributed_rank(
         kept.select("dataset", "method", "fold", F.col(score).alias("score"),
