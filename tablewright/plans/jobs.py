@@ -6,6 +6,7 @@ import logging
 import time
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -183,6 +184,20 @@ def code_categories(
     return encoder.transform(train), encoder.transform(test)
 
 
+@contextmanager
+def _kept(*frames: DataFrame):
+    """The frames held in memory, spilling to disk, while the block runs.
+
+    A lost executor only costs recomputation: every frame is a function of its source.
+    """
+    held = [frame.persist(StorageLevel.MEMORY_AND_DISK) for frame in frames]
+    try:
+        yield held
+    finally:
+        for frame in held:
+            frame.unpersist()
+
+
 def chosen_spec(profile_row: DataFrame, rule: str) -> dict:
     """The specification a rule set picks for a one-row profile table."""
     spec = rules.choose(profile_row, rule).select("spec.*").first()
@@ -219,22 +234,21 @@ def _run_grid(
     for task in tasks:
         rows, categories, n_labels = prepare(task)
         marked, folds = with_folds(rows, task)
-        marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
+        if len(folds) > 1:
+            marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
         specs = _specs_of(profiles, task, methods, overrides)
         for fold in folds:
             held = F.col("fold") == (0 if fold is None else fold)
-            train, test = code_categories(marked.filter(~held), marked.filter(held), categories)
-            # Appended fold by fold, so an interrupted job keeps what it has done.
-            _record(
-                spark,
-                [
+            with _kept(*code_categories(marked.filter(~held), marked.filter(held), categories)) as (train, test):
+                done = [
                     run_one(task, method, spec, train, test, categories, n_labels, fold,
                             method in fixed_methods, coded=True)
                     for method, spec in specs.items()
-                ],
-                path,
-            )
-        marked.unpersist()
+                ]
+            # Appended fold by fold, so an interrupted job keeps what it has done.
+            _record(spark, done, path)
+        if len(folds) > 1:
+            marked.unpersist()
 
 
 def run_experiments(
@@ -291,14 +305,14 @@ def run_large_table(
     profiles = profiles_for(spark, [task], profiles_path)
     rows, categories, n_labels = prepare(task)
     marked, _ = with_folds(rows, task)
-    marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = code_categories(marked.filter("fold <> 0"), marked.filter("fold = 0"), categories)
-    for method, spec in _specs_of(profiles, task, methods or METHODS, overrides).items():
-        sampled = sample_rows is not None and spec["model"] in sampled_models
-        fit_rows = sample_n(train, list(task.keys), sample_rows, SEED) if sampled else train
-        done = run_one(task, method, spec, fit_rows, test, categories, n_labels, coded=True)
-        _record(spark, [done], results_path)
-    marked.unpersist()
+    specs = _specs_of(profiles, task, methods or METHODS, overrides)
+    coded = code_categories(marked.filter("fold <> 0"), marked.filter("fold = 0"), categories)
+    with _kept(*coded) as (train, test):
+        for method, spec in specs.items():
+            sampled = sample_rows is not None and spec["model"] in sampled_models
+            fit_rows = sample_n(train, list(task.keys), sample_rows, SEED) if sampled else train
+            done = run_one(task, method, spec, fit_rows, test, categories, n_labels, coded=True)
+            _record(spark, [done], results_path)
     return read_results(spark, results_path)
 
 
