@@ -3,10 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablewright.llm.decontaminate import find_leaks
+from tablewright.llm.language import UNDETERMINED, identify_language, train_language_model
+from tablewright.llm.mixing import mix_sources, mixed_rows
 from tablewright.llm.near_dedup import near_duplicates
+from tablewright.llm.sharding import shard_documents
 from tablewright.session import materialize
 
+LEAST_SCORE = 0.3  # mean probability below which a language counts as unknown
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose language the model cannot tell at all, go."""
+    found = identify_language(docs, train_language_model(docs))
+    known = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return known.select(docs.columns)
+
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (Jaccard 0.80 of five-word shingles) stays."""
@@ -15,8 +29,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage that repeats a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = materialize(find_leaks(docs, items).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, the last of a source cut to its budget."""
+    return mixed_rows(mix_sources(docs))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in 16 shards of near-equal bytes, every document with its place."""
+    return shard_documents(docs)
+
+
 STAGES = [
+    ("language_id", keep_known_languages),
     ("minhash_near_dedup", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix),
+    ("sharding", shard),
 ]
 
 ORACLE_SQL = None  # trained models and sketches: tests/llm compares with brute force

@@ -2,21 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablewright.llm.decontaminate import find_leaks
+from tablewright.llm.language import identify_language, train_language_model
+from tablewright.llm.mixing import mix_sources
 from tablewright.llm.near_dedup import near_duplicates
+from tablewright.llm.sharding import shard_documents
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of all documents that repeat a benchmark item."""
+    return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def held_out() -> Column:
+    """Documents that no language model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents, learnt from those that are not held out."""
+    docs = _table(spark, folder, "documents")
+    rest = F.coalesce(held_out(), F.lit(False))
+    model = train_language_model(docs.filter(~rest))
+    return identify_language(docs, model).select(
+        "doc_id", rest.alias("held_out"), "lang_pred", "score")
+
+
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 16 shards of near-equal bytes."""
+    return shard_documents(_table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of all documents."""
+    return mix_sources(_table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates of all documents at a Jaccard of 0.85."""
     return near_duplicates(_table(spark, folder, "documents"), percent=85)
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op4_language_id": op4_language_id,
+    "op5_sharding": op5_sharding,
+    "op6_mixing": op6_mixing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-SQL: dict[str, str] = {}
+
+SQL = {
+    "op6_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, md5('11:' || doc_id::VARCHAR) AS key,
+                coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+            FROM documents),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                [5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+            FROM d GROUP BY source),
+        f AS (
+            SELECT *, 2.0::DOUBLE * source_size AS bound,
+                (sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(2.0::DOUBLE * source_size) OVER (
+                    ORDER BY 2.0::DOUBLE * source_size / weight, encode(source) NULLS LAST
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+                sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, encode(source) NULLS LAST
+                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+            FROM s),
+        t AS (
+            SELECT source, source_size, least(bound, coalesce(max(CASE
+                WHEN left_over / open_weight * weight <= bound THEN left_over / open_weight END) OVER () * weight,
+                bound)) AS target
+            FROM f),
+        p AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS budget,
+                coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, (CASE WHEN source_size = 0 THEN 0 ELSE
+            budget // source_size * size
+            + greatest(0, least(size, budget - budget // source_size * source_size - before)) END)::BIGINT AS taken
+        FROM p
+    """,
+}

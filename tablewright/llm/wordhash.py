@@ -1,6 +1,6 @@
 """Hash the words of whole texts, straight from Arrow buffers.
 
-A word is a run of bytes outside ``\\x20`` and ``\\x09-\\x0D``; A-Z count as a-z. Work is cut
+A word is a run of bytes between separators; A-Z count as a-z. Work is cut
 into pieces of a few megabytes, so memory does not follow the longest text.
 """
 
@@ -22,16 +22,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def _byte_table() -> tuple[np.ndarray, np.ndarray]:
+def _byte_table(breaks: list[int]) -> tuple[np.ndarray, np.ndarray]:
     space = np.zeros(256, bool)
-    space[[0x20, *range(0x09, 0x0E)]] = True
+    space[breaks] = True
     values = mix(np.arange(1, 257, dtype=_U))
     values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
     values[space] = 0
     return space, values
 
 
-SPACE, VALUES = _byte_table()
+#: Words end at white space.
+BLANKS = _byte_table([0x20, *range(0x09, 0x0E)])
+#: Words end at every ASCII character that is no letter or digit.
+MARKS = _byte_table([b for b in range(128) if not chr(b).isalnum()])
 _powers = np.ones(1, _U)
 
 
@@ -59,9 +62,10 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def _hash_piece(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_piece(data: np.ndarray, cuts: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of ``data``, and how many words lie before each of ``cuts``."""
-    word = ~SPACE[data]
+    space, codes = table
+    word = ~space[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = cuts[(cuts > 0) & (cuts < len(data))]
@@ -71,7 +75,7 @@ def _hash_piece(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, _U), np.zeros(len(cuts), np.int64)
     lengths = np.diff(starts, append=len(data))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
-    values = VALUES[data[starts[0] :]] * _power_table(int(lengths.max()))[place]
+    values = codes[data[starts[0] :]] * _power_table(int(lengths.max()))[place]
     hashes = mix(np.add.reduceat(values, starts - starts[0]))
     return hashes, np.searchsorted(starts, cuts)
 
@@ -86,29 +90,30 @@ def _row_blocks(offsets: np.ndarray):
         row = end
 
 
-def _long_row(data: np.ndarray) -> np.ndarray:
+def _long_row(data: np.ndarray, table) -> np.ndarray:
+    space = table[0]
     parts, at = [], 0
     while at < len(data):
         end = min(at + PIECE, len(data))
-        while end < len(data) and not SPACE[data[end]]:
-            gap = np.flatnonzero(SPACE[data[end : end + PIECE]])
+        while end < len(data) and not space[data[end]]:
+            gap = np.flatnonzero(space[data[end : end + PIECE]])
             end = end + int(gap[0]) if len(gap) else min(end + PIECE, len(data))
-        parts.append(_hash_piece(data[at:end], np.zeros(0, np.int64))[0])
+        parts.append(_hash_piece(data[at:end], np.zeros(0, np.int64), table)[0])
         at = end
     return np.concatenate(parts)
 
 
-def hashed_words(column: pa.Array):
+def hashed_words(column: pa.Array, table=BLANKS):
     """Yield ``(first row, word hashes, word offsets)`` for runs of rows of ``column``."""
     data, offsets = string_buffers(column)
     for start, end in _row_blocks(offsets):
         low, high = offsets[start], offsets[end]
         if end == start + 1 and high - low > PIECE:
-            hashes = _long_row(data[low:high])
+            hashes = _long_row(data[low:high], table)
             yield start, hashes, np.array([0, len(hashes)])
         else:
             cuts = offsets[start : end + 1] - low
-            yield start, *_hash_piece(data[low:high], cuts)
+            yield start, *_hash_piece(data[low:high], cuts, table)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
