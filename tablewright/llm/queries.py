@@ -9,7 +9,9 @@ from tablewright.llm.decontaminate import find_leaks
 from tablewright.llm.language import identify_language, train_language_model
 from tablewright.llm.mixing import mix_sources
 from tablewright.llm.near_dedup import near_duplicates
+from tablewright.llm.secrets import find_secrets, labelled_samples, span_digest, train_markov
 from tablewright.llm.sharding import shard_documents
+from tablewright.llm.winnowing import fingerprint_documents, fingerprint_text
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +23,18 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = train_markov(labelled_samples(docs, "doc_id", "text", sample_docs=20_000, seed=3))
+    found = find_secrets(docs, model).select("doc_id", "secret_spans")
+    base = F.filter("secret_spans", lambda s: s["kind"] < 3)
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(span_digest(base), 256).alias("base_sha256"), span_digest(F.col("secret_spans")).alias("spans"))
+
+
 def held_out() -> Column:
     """Documents that no language model may learn from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -47,6 +61,16 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    found = fingerprint_documents(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        fingerprint_text(F.col("fingerprint")).alias("fingerprint"),
+        fingerprint_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates of all documents at a Jaccard of 0.85."""
     return near_duplicates(_table(spark, folder, "documents"), percent=85)
@@ -54,9 +78,11 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_secrets": op3_secrets,
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op8_fingerprints": op8_fingerprints,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
