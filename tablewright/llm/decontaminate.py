@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.llm.membership import possibly_in
 from tablewright.llm.wordhash import MARKS, hashed_words, shingle_hashes
 from tablewright.session import materialize
 
@@ -138,12 +139,12 @@ def find_leaks(
     least ``least`` are returned, one row per document and item, its best passage as
     a span of word numbers (end exclusive).
 
-    Null or empty texts and items of fewer than three words match nothing. Rows that repeat
-    an id are reported together under it; a null id is reported as null. Other columns are ignored.
+    Null or empty texts, null ids and items of fewer than three words match nothing. Rows that
+    repeat an id are reported together under it. Other columns are ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("text")).filter("doc_id is not null")
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.lower(item_text_col).alias("item"))
-    tests = tests.filter("item is not null").dropDuplicates()
+    tests = tests.filter("item is not null and item_id is not null").dropDuplicates()
     grams = materialize(tests.mapInArrow(
         lambda batches: _grams(batches, SEED_WORDS), "item_id long, place long, gram long, words long"), "grams")
     known = gram_filter(grams)
@@ -168,8 +169,7 @@ def find_leaks(
     windows = windows.filter((F.col("hits") > 1) | (F.col("words") <= 8)).select(
         "doc_id", "item_id", (F.col("low") - pad).alias("low"), (F.col("high") + F.col("words") + pad).alias("high"))
     windows = materialize(windows, "windows")
-    same = F.col("w.doc_id").eqNullSafe(F.col("d.doc_id"))
-    rows = windows.alias("w").join(source.alias("d"), same).select("w.*", "d.text")
+    rows = windows.join(possibly_in(source, "doc_id", windows, "doc_id"), "doc_id")
     rows = rows.join(tests, "item_id").select("doc_id", "item_id", "low", "high", "text", "item")
     scored = rows.mapInArrow(
         lambda batches: _score(batches, least),
