@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.decontaminate import find_leaks
+from tablewright.llm.html_extract import extract_pages
 from tablewright.llm.language import identify_language, train_language_model
+from tablewright.llm.licenses import scan_licenses
+from tablewright.llm.line_dedup import dedup_lines
 from tablewright.llm.mixing import mix_sources
 from tablewright.llm.near_dedup import near_duplicates
 from tablewright.llm.secrets import find_secrets, labelled_samples, span_digest, train_markov
@@ -18,6 +21,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract_pages(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of all documents that repeat a benchmark item."""
     return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -61,6 +69,14 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of all documents. The table has no paths; a document counts as the file
+    ``source/<hundreds of its id>/<id>``."""
+    number = F.col("doc_id").cast("string")
+    path = F.concat_ws("/", F.col("source"), F.floor(F.col("doc_id") / 100).cast("string"), number)
+    return scan_licenses(_table(spark, folder, "documents").withColumn("path", path))
+
+
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     found = fingerprint_documents(_table(spark, folder, "documents"))
@@ -71,18 +87,29 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         "near_edited", "near_next")
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that each document loses, of all documents."""
+    found = dedup_lines(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
+        F.concat_ws(",", F.transform("dropped", lambda p: p.cast("string"))).alias("dropped"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates of all documents at a Jaccard of 0.85."""
     return near_duplicates(_table(spark, folder, "documents"), percent=85)
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_decontamination": op2_decontamination,
     "op3_secrets": op3_secrets,
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op7_licenses": op7_licenses,
     "op8_fingerprints": op8_fingerprints,
+    "op9_line_dedup": op9_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
