@@ -17,8 +17,8 @@ LEAST_SCORE = 0.3  # mean probability below which a language counts as unknown
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose language the model cannot tell at all, go."""
-    found = identify_language(docs, train_language_model(docs))
-    known = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    found = identify_language(docs, train_language_model(docs), prefix="_")
+    known = found.filter((F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= LEAST_SCORE))
     return known.select(docs.columns)
 
 
@@ -38,7 +38,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, the last of a source cut to its budget."""
-    return mixed_rows(mix_sources(docs))
+    return mixed_rows(mix_sources(docs, prefix="_mix_"), prefix="_mix_")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

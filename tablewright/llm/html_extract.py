@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.columns import make_room
+
 # Tag, comment or declaration. Possessive, so that no page makes it backtrack.
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>"'<]++|"[^"<]*"|'[^'<]*'|["'])*+)>|<[!?/][^>]*>""",
@@ -257,5 +259,5 @@ def extract_text(html: Column) -> Column:
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Add ``text`` and ``n_chars`` (its code points) to every page; other columns are kept,
     but for an earlier ``text`` or ``n_chars``, which are replaced."""
-    found = pages.withColumn("text", extract_text(F.col(html_col)))
+    found = make_room(pages, "text", "n_chars").withColumn("text", extract_text(F.col(html_col)))
     return found.withColumn("n_chars", F.length("text").cast("long"))

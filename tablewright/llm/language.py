@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.columns import make_room
 from tablewright.llm.wordhash import string_buffers
 
 HIDDEN = 8  # state of each direction
@@ -227,14 +228,21 @@ def _predict(columns: Iterator[pa.Array], model: Model) -> Iterator[pa.Array]:
             ["lang_pred", "score"])
 
 
-def identify_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (mean probability of that label over all bytes).
+def identify_language(
+    docs: DataFrame, model: Model | None, text_col: str = "text", prefix: str = ""
+) -> DataFrame:
+    """Add ``lang_pred`` and ``score`` (each after ``prefix``): the label, and its mean
+    probability over all bytes.
 
-    Whole texts are read, whatever their length, in windows that run side by side. Null and texts without a
-    letter give ``und`` and 0.0; so does every text when there is no model.
+    Whole texts are read, whatever their length, in windows that run side by side. Null and
+    texts without a letter give ``und`` and 0.0; so does every text when there is no model.
+    Equal texts get equal results. Extra columns are kept, but for those with the names of
+    the results, which are replaced.
     """
+    label, score = f"{prefix}lang_pred", f"{prefix}score"
+    docs = make_room(docs, label, score)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return docs.withColumns({label: F.lit(UNDETERMINED), score: F.lit(0.0)})
 
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return _predict(columns, model)
@@ -243,6 +251,6 @@ def identify_language(docs: DataFrame, model: Model | None, text_col: str = "tex
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     found = docs.withColumn("_found", judge(F.lower(F.col(text_col))))
     return found.withColumns({
-        "lang_pred": F.when(has_letter, F.col("_found.lang_pred")).otherwise(UNDETERMINED),
-        "score": F.when(has_letter, F.col("_found.score")).otherwise(0.0),
+        label: F.when(has_letter, F.col("_found.lang_pred")).otherwise(UNDETERMINED),
+        score: F.when(has_letter, F.col("_found.score")).otherwise(0.0),
     }).drop("_found")

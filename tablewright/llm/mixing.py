@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.llm.columns import make_room
 from tablewright.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -12,6 +13,7 @@ WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 WEIGHTS = (5, 2, 1)  # by the order of the sources, repeating
 SHARE = 1.5  # of all words
 MOST = 2  # times a source's size, and a document's
+RESULTS = ("size", "source_size", "target", "taken")
 CELL_DIGITS = 4  # hex digits that name a range of the random order within each source
 
 
@@ -52,10 +54,12 @@ def source_targets(sources: DataFrame) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    seed: int = 11, prefix: str = "",
 ) -> DataFrame:
-    """Add ``size, source_size, target, taken``: the words of each document and source, the
-    words the source should give, and those of this document that the mix takes.
+    """Add ``size, source_size, target, taken`` (each after ``prefix``): the words of each
+    document and source, the words the source should give, and those of this document that
+    the mix takes.
 
     Each source is put in the random order of a seeded hash of the id (ties by the text's hash).
     The order is cut into cells, every cell is totalled, and running totals of the cells of a source
@@ -63,8 +67,10 @@ def mix_sources(
     source gives all its documents as often as its target holds its size, then the
     remainder in that order, the last document cut at the exact word. A source or text that is
     null, empty or repeated is as any other; equal rows stand next to each other in the order.
-    A source without words has target 0. Extra columns are kept.
+    A source without words has target 0. Extra columns are kept, but for those with the names
+    of the results, which are replaced.
     """
+    docs = make_room(docs, *[prefix + name for name in RESULTS])
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
     cell = F.struct(F.col(source_col).alias("source"), F.substring(key, 1, CELL_DIGITS).alias("cell"))
     rows = docs.withColumns({
@@ -91,8 +97,9 @@ def mix_sources(
     rest = budget - epochs * F.col("_source_size")
     part = F.greatest(F.lit(0), F.least("_size", rest - F.col("_before")))
     return placed.withColumn("_before", before).select(
-        *docs.columns, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (epochs * F.col("_size") + part).cast("long").alias("taken"))
+        *docs.columns, F.col("_size").alias(f"{prefix}size"),
+        F.col("_source_size").alias(f"{prefix}source_size"), F.col("_target").alias(f"{prefix}target"),
+        (epochs * F.col("_size") + part).cast("long").alias(f"{prefix}taken"))
 
 
 def first_words(text: Column, count: Column) -> Column:
@@ -100,19 +107,22 @@ def first_words(text: Column, count: Column) -> Column:
     return F.array_join(F.slice(F.split(text, WORD_END), F.lit(1), count.cast("int")), "")
 
 
-def mixed_rows(mixed: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def mixed_rows(
+    mixed: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", prefix: str = ""
+) -> DataFrame:
     """The mix itself: a whole row for every full take of a document, then one cut to the rest.
 
-    Input is the result of ``mix_sources``; its four columns are dropped. Documents of
-    which no word is taken are left out, so documents without words are too.
+    Input is the result of ``mix_sources`` with the same ``prefix``; its four columns are
+    dropped. Documents of which no word is taken are left out, so documents without words are too.
     """
-    names = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
-    full = F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    rest = F.col("taken") - full * F.col("size")
+    names = [c for c in mixed.columns if c not in [prefix + name for name in RESULTS]]
+    taken, size = F.col(f"{prefix}taken"), F.col(f"{prefix}size")
+    full = F.floor(taken / F.greatest(size, F.lit(1))).cast("int")
+    rest = taken - full * size
     takes = F.concat(
         F.array_repeat(F.lit(0).cast("long"), full),
         F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    rows = mixed.filter("taken > 0").select(*names, F.explode(takes).alias("_cut"))
+    rows = mixed.filter(taken > 0).select(*names, F.explode(takes).alias("_cut"))
     cut = F.when(F.col("_cut") > 0, first_words(F.col(text_col), F.col("_cut"))).otherwise(F.col(text_col))
     rows = rows.withColumn("_cut_text", cut)
     changed = {text_col: F.col("_cut_text")}

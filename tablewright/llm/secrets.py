@@ -8,6 +8,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.columns import make_room
+
 # The kinds in their order, and what each must match.
 ASSIGN = (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?"
           r"([A-Za-z0-9+/_.=-]+)")
@@ -137,8 +139,10 @@ def find_secrets(
     ``assign, access, hex`` come from the fixed patterns. ``random`` are tokens of 16 and
     more characters, apart from all others, which the model of random strings explains better
     than that of ordinary identifiers by ``least_ratio`` (natural log) or more. Null counts as empty,
-    an empty text has no span, and a text is searched whole. Other columns are kept.
+    an empty text has no span, and a text is searched whole. Other columns are kept, but for
+    an earlier ``secret_spans``.
     """
+    docs = make_room(docs, "secret_spans")
     rows = base_spans(docs, text_col)
     known = F.concat("_assign", "_access", "_hex")
     if model is None:

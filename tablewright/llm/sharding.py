@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.llm.columns import make_room
 from tablewright.session import materialize
 
 FIRST_DIGITS = 3  # hex digits of the cells that are totalled first
@@ -173,8 +174,10 @@ def shard_documents(
     totals of the cells give offsets, and only a cell's rows are sorted. Rows equal in
     id and text may swap slots with each other. A group larger than an even share of what is left
     has a shard of its own, and the others share the rest. ``grown_shard`` is null (no key
-    law). An empty table gives no rows. Extra columns are kept.
+    law). An empty table gives no rows. Extra columns are kept, but for those with the
+    names of the results, which are replaced.
     """
+    docs = make_room(docs, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     text = F.col(text_col)
     data = F.coalesce(text, F.lit("")).cast("binary")
     rows = docs.withColumns({
