@@ -121,7 +121,7 @@ def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return steps, (np.arange(SPAN)[:, None] < lengths).astype(np.float32)
 
 
-def fit_network(texts: list[bytes], labels: list[str], epochs: int = 10, seed: int = 7) -> Model:
+def fit_network(texts: list[bytes], labels: list[str], updates: int = 320, seed: int = 7) -> Model:
     """Adam over shuffled batches; every fifth window is shortened, as short texts are."""
     names = sorted(set(labels))
     target = np.array([names.index(label) for label in labels])
@@ -129,26 +129,24 @@ def fit_network(texts: list[bytes], labels: list[str], epochs: int = 10, seed: i
     weights = _start(len(names), seed)
     steps, mask = _windows(texts)
     moment = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in weights.items()}
-    rounds = 0
-    for epoch in range(epochs):
-        shuffled = random.permutation(len(texts))
-        for at in range(0, len(shuffled), 64):
-            pick = shuffled[at : at + 64]
-            part, shown = steps[:, pick].copy(), mask[:, pick].copy()
-            short = np.flatnonzero(random.random(len(pick)) < 0.2)
-            for i in short:
-                cut = int(random.integers(4, SPAN))
-                part[cut:, i], shown[cut:, i] = 0, 0
-            _, grads = _gradients(weights, part, shown, target[pick])
-            rounds += 1
-            rate = 0.02 * (1 - epoch / epochs) + 0.002
-            for name, grad in grads.items():
-                first, second = moment[name]
-                grad = np.clip(grad, -1, 1)
-                first += 0.1 * (grad - first)
-                second += 0.01 * (grad * grad - second)
-                step = first / (1 - 0.9**rounds) / (np.sqrt(second / (1 - 0.99**rounds)) + 1e-8)
-                weights[name] -= (rate * step).astype(np.float32)
+    queue = np.zeros(0, np.int64)
+    for done in range(updates):
+        while len(queue) < min(64, len(texts)):
+            queue = np.concatenate([queue, random.permutation(len(texts))])
+        pick, queue = queue[:64], queue[64:]
+        part, shown = steps[:, pick].copy(), mask[:, pick].copy()
+        for i in np.flatnonzero(random.random(len(pick)) < 0.2):
+            cut = int(random.integers(4, SPAN))
+            part[cut:, i], shown[cut:, i] = 0, 0
+        _, grads = _gradients(weights, part, shown, target[pick])
+        rate = 0.02 * (1 - done / updates) + 0.002
+        for name, grad in grads.items():
+            first, second = moment[name]
+            grad = np.clip(grad, -1, 1)
+            first += 0.1 * (grad - first)
+            second += 0.01 * (grad * grad - second)
+            step = first / (1 - 0.9 ** (done + 1)) / (np.sqrt(second / (1 - 0.99 ** (done + 1))) + 1e-8)
+            weights[name] -= (rate * step).astype(np.float32)
     return Model(names, weights)
 
 
@@ -172,7 +170,7 @@ def labelled_windows(
 
 def train_language_model(
     docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id",
-    cells: int = 512, max_labels: int = 64, epochs: int = 10, seed: int = 7,
+    cells: int = 512, max_labels: int = 64, updates: int = 320, seed: int = 7,
 ) -> Model | None:
     """Fit the network on a bounded sample: ``cells`` windows for each of the ``max_labels``
     most frequent labels. None when no row has a label and a letter."""
@@ -184,7 +182,7 @@ def train_language_model(
     rows = sorted(tuple(row) for row in sample.collect())
     if not rows:
         return None
-    return fit_network([row[2].encode() for row in rows], [row[0] for row in rows], epochs, seed)
+    return fit_network([row[2].encode() for row in rows], [row[0] for row in rows], updates, seed)
 
 
 def pooled(model: Model, column: pa.Array) -> np.ndarray:

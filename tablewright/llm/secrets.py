@@ -20,6 +20,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"  # what the models judge
 SYMBOLS = 128
+BACK_OFF = 4.0
 MARK = "﷐"  # a noncharacter; in a text that holds it, it is replaced before marking
 CHUNK = 256
 
@@ -96,8 +97,9 @@ def labelled_samples(docs: DataFrame, id_col: str, text_col: str, sample_docs: i
 def train_markov(samples: DataFrame) -> list[float] | None:
     """Log-likelihood ratio of every character pair: random string over ordinary identifier.
 
-    Two first-order chains over ASCII, add-one smoothed over the characters seen. Pairs are
-    counted in Spark; the driver receives at most 2 x 128 x 128 counts. None unless both labels occur.
+    Two first-order chains over ASCII, backed off to the frequency of the second character
+    (that one add-one smoothed). Pairs are counted in Spark; the driver receives at most 2 x 128 x 128
+    counts. None unless both labels occur.
     """
     chars = samples.select("random", F.transform(F.split("value", ""), lambda c: F.ascii(c)).alias("c"))
     pairs = chars.select("random", F.explode(F.arrays_zip(
@@ -107,15 +109,19 @@ def train_markov(samples: DataFrame) -> list[float] | None:
     rows = pairs.groupBy("random", "p.a", "p.b").count().collect()
     if {row["random"] for row in rows} != {True, False}:
         return None
-    seen = len({row["a"] for row in rows} | {row["b"] for row in rows})
+    seen = {row["a"] for row in rows} | {row["b"] for row in rows}
     counts: dict = {True: defaultdict(int), False: defaultdict(int)}
-    totals: dict = {True: defaultdict(int), False: defaultdict(int)}
+    before: dict = {True: defaultdict(int), False: defaultdict(int)}
+    after: dict = {True: defaultdict(int), False: defaultdict(int)}
     for row in rows:
         counts[row["random"]][row["a"], row["b"]] += row["count"]
-        totals[row["random"]][row["a"]] += row["count"]
+        before[row["random"]][row["a"]] += row["count"]
+        after[row["random"]][row["b"]] += row["count"]
+    totals = {label: sum(after[label].values()) for label in after}
 
     def log(label: bool, a: int, b: int) -> float:
-        return math.log((counts[label][a, b] + 1) / (totals[label][a] + seen))
+        alone = (after[label][b] + 1) / (totals[label] + len(seen) + 1)
+        return math.log((counts[label][a, b] + BACK_OFF * alone) / (before[label][a] + BACK_OFF))
 
     return [round(log(True, a, b) - log(False, a, b), 4) for a in range(SYMBOLS) for b in range(SYMBOLS)]
 
