@@ -97,7 +97,7 @@ def _prompt(condition):
 
 
 def parse_spec_query(spark, folder):
-    rows = parse_spec(with_reply_object(replies(spark, folder), "raw"), "raw")
+    rows = parse_spec(with_reply_object(replies(spark, folder), "raw"), "raw", parsed="found")
     return rows.select(
         "event_id", F.col("found").isNotNull().alias("found"),
         F.array_join("spec.preprocessing", ",").alias("steps"), F.col("spec.model").alias("model"),

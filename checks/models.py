@@ -18,13 +18,13 @@ SCALED = ["imputer", "standard_scaler"]
 
 def line_task(spark, folder):
     """Line status from the figures of a line; the key is kept out of the features."""
-    lines = table(spark, folder, "lineitem").drop("l_shipdate").withColumn(
+    lines = table(spark, folder, "lineitem").withColumn(
         "line", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     return TableTask("lineitem", lines, "l_linestatus", "classification", ("line",))
 
 
 def order_task(spark, folder):
-    orders = table(spark, folder, "orders").drop("o_orderdate")
+    orders = table(spark, folder, "orders")
     return TableTask("orders", orders, "o_orderstatus", "classification", ("o_orderkey",))
 
 

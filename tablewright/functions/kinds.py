@@ -43,6 +43,18 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def moments_as_numbers(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Dates as days and timestamps as seconds since 1970, so that they serve as features."""
+    changed = {}
+    for name in columns:
+        kind = df.schema[name].dataType
+        if isinstance(kind, T.DateType):
+            changed[name] = F.unix_date(quoted(name)).cast("double")
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            changed[name] = F.unix_micros(quoted(name).cast("timestamp")) / 1_000_000
+    return df.withColumns(changed) if changed else df
+
+
 def present_value(df: DataFrame, name: str, nan_is_missing: bool = True) -> Column:
     """The column with NaN turned into null where NaN counts as missing."""
     column = quoted(name)

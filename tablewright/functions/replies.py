@@ -9,7 +9,9 @@ from tablewright.functions.specs import spec_struct
 
 # Where a JSON object is looked for in a reply that is not JSON itself.
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
-BRACED = r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+# Possessive, so that the search neither recurses nor goes back, however long the reply is.
+BRACED = r"(?s)\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
+LAST_KEY_WINS = "spark.sql.variant.allowDuplicateKeys"
 
 
 def _number(value: Column) -> Column:
@@ -28,9 +30,11 @@ def _text(value: Column) -> Column:
 def with_reply_object(df: DataFrame, raw: str, output: str = "found") -> DataFrame:
     """Add the reply's JSON object as a variant: whole text, fenced block, or first braces.
 
-    A whole text that is JSON but not an object gives null, as broken text does. Each
-    stage is a column of its own, so a text is searched and parsed once.
+    A whole text that is JSON but not an object gives null, as broken text does. The fence
+    and the braces are looked for only where the stage before found nothing. Of a key that occurs
+    twice the last value counts, which the session is told here.
     """
+    df.sparkSession.conf.set(LAST_KEY_WINS, "true")
     text = F.col(raw)
     candidates = F.coalesce(
         F.try_parse_json(F.trim(text)),
@@ -42,13 +46,15 @@ def with_reply_object(df: DataFrame, raw: str, output: str = "found") -> DataFra
     return df.withColumn("_found", candidates).withColumn(output, F.when(is_object, found)).drop("_found")
 
 
-def parse_spec(df: DataFrame, raw: str, output: str = "spec") -> DataFrame:
+def parse_spec(df: DataFrame, raw: str, output: str = "spec", parsed: str | None = None) -> DataFrame:
     """Add the specification a reply text holds, or null.
 
+    ``parsed`` names the result of ``with_reply_object``, if there is one already.
     Fields of the wrong type become null, list entries and parameters of the wrong type
     are left out.
     """
-    fields = with_reply_object(df, raw, "_object").withColumns(
+    found = df.withColumn("_object", F.col(parsed)) if parsed else with_reply_object(df, raw, "_object")
+    fields = found.withColumns(
         {
             "_steps": F.try_variant_get("_object", "$.preprocessing", "array<variant>"),
             "_parameters": F.try_variant_get("_object", "$.hyperparameters", "map<string,variant>"),

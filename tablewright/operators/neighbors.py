@@ -10,7 +10,7 @@ the pairs. Nothing is approximated: a skipped cell provably holds no neighbour.
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from tablewright.operators.splits import row_digest
 from tablewright.session import materialize
 
 BLOCK_ROWS = 4096
-PIVOTS = 64
+PIVOTS = 64  # at least; the number grows with the root of the training rows
 _SLACK = 1e-9  # guards the bounds against rounding
 
 
@@ -106,7 +106,7 @@ def nearest_neighbors(
     base = train.select(
         quoted(key).alias("_tid"), quoted(vector).alias("_v"), quoted(label).alias("_label")
     )
-    centres = choose_pivots(train, key, vector, pivots)
+    centres = choose_pivots(train, key, vector, max(pivots, isqrt(train.count()) // 8))
     # Read twice below; written once, the distances to the pivots are computed once.
     celled = materialize(_with_cell(base, centres), "cells")
     counts, radii = np.zeros(len(centres)), np.zeros(len(centres))
@@ -118,7 +118,6 @@ def nearest_neighbors(
 
     block_count = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("_cell") + 1)
     blocked = celled.withColumn("_block", F.pmod(F.xxhash64("_tid"), block_count).cast("int"))
-    blocked = blocked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
 
     visit = F.pandas_udf(_candidate_cells(centres, counts, radii, k), "array<int>")
     asked = queries.select(quoted(key).alias("_qid"), quoted(vector).alias("_q"))
@@ -149,6 +148,10 @@ def nearest_neighbors(
             }
         )
 
+    # A block is copied only to the query parts that visit it.
+    routed = materialize(routed, "routed")
+    visits = materialize(routed.select("_cell", "_block", "_part").distinct(), "visits")
+    blocked = blocked.join(visits, ["_cell", "_block"])
     cell = ["_cell", "_block", "_part"]
     found = routed.groupBy(*cell).cogroup(blocked.groupBy(*cell)).applyInPandas(search, schema)
     place = Window.partitionBy("_qid").orderBy("_distance", "_tid")

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.kinds import CATEGORICAL, chunked, columns_of_kind, present_value, quoted
+from tablewright.functions.kinds import (
+    CATEGORICAL, chunked, columns_of_kind, moments_as_numbers, present_value, quoted)
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.ranking import running_totals
 from tablewright.session import materialize
@@ -481,4 +482,5 @@ class Assemble(Transformer, _Columns, DefaultParamsReadable, DefaultParamsWritab
 
 def cast_features(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as doubles plus the ``features`` vector made of them."""
+    df = moments_as_numbers(df, columns)
     return Assemble(inputCols=columns).transform(df.withColumns({c: quoted(c).cast("double") for c in columns}))

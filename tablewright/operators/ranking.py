@@ -17,34 +17,57 @@ from pyspark.sql import types as T
 
 from tablewright.session import materialize
 
-MAX_RANGES = 4096
-MAX_TEXT_RANGES = 256
+PREFIX_BYTES = 6
 
 
-def _range_bounds(df: DataFrame, value: str, ranges: int) -> list:
-    """Distinct inner boundaries that cut the rows of ``df`` into about equal ranges."""
-    if isinstance(df.schema[value].dataType, T.StringType):
-        # A fixed-size sample chosen by hash: the smallest digests are a uniform draw.
-        wanted = min(ranges, MAX_TEXT_RANGES) * 4
-        sample = df.select(value).orderBy(F.md5(F.col(value)), value).limit(wanted)
-        values = sorted({row[0] for row in sample.collect()})
-        step = max(1, len(values) // min(ranges, MAX_TEXT_RANGES))
-        return values[step::step]
-    probabilities = [i / ranges for i in range(1, ranges)]
-    return sorted(set(df.approxQuantile(value, probabilities, 1 / (4 * ranges))))
+def _shared_prefix(df: DataFrame, value: str) -> int:
+    """How many leading characters all texts of the column share."""
+    ends = df.agg(F.min(value), F.max(value)).first()
+    low, high = ends[0] or "", ends[1] or ""
+    same = 0
+    while same < min(len(low), len(high)) and low[same] == high[same]:
+        same += 1
+    return same
+
+
+def _place(df: DataFrame, value: str) -> Column:
+    """A number that never falls when the value rises; null for null.
+
+    Ranges are cut on it, so it may be equal for different values: those of one range are
+    ordered by the value itself. A text gives the bytes after the prefix that all share.
+    """
+    kind, column = df.schema[value].dataType, F.col(value)
+    if isinstance(kind, T.StringType):
+        rest = F.substr(column, F.lit(_shared_prefix(df, value) + 1), F.lit(PREFIX_BYTES))
+        digits = F.rpad(F.substring(F.hex(F.encode(rest, "UTF-8")), 1, 2 * PREFIX_BYTES), 2 * PREFIX_BYTES, "0")
+        return F.conv(digits, 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(column.cast("timestamp")).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("double")
+    return column.cast("double")
 
 
 def with_range(df: DataFrame, value: str, ranges: int, output: str = "_range") -> DataFrame:
-    """Add the number of the value range each row falls in."""
-    bounds = _range_bounds(df, value, ranges) if ranges > 1 else []
-    if not bounds:
-        return df.withColumn(output, F.lit(0.0))
-    if isinstance(df.schema[value].dataType, T.StringType):
-        cuts = F.array(*[F.lit(bound) for bound in bounds])
-        below = F.size(F.filter(cuts, lambda cut: cut <= F.col(value)))
-        return df.withColumn(output, below.cast("double"))
-    splits = [float("-inf"), *bounds, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol=output).transform(df)
+    """Add the number of the value range each row falls in: null lowest, NaN highest.
+
+    One path for every type and size: with one range the others are simply fewer.
+    """
+    placed = df.withColumn("_place", _place(df, value))
+    bounds: list[float] = []
+    if ranges > 1:
+        probabilities = [i / ranges for i in range(1, ranges)]
+        known = placed.select("_place").filter("_place is not null and not isnan(_place)")
+        found = known.approxQuantile("_place", probabilities, 1 / (4 * ranges))
+        bounds = sorted({bound for bound in found if abs(bound) != float("inf")})
+    # A bound that no finite value reaches keeps the number of splits legal.
+    splits = [float("-inf"), *(bounds or [float("1.7976931348623157e308")]), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_place", outputCol=output, handleInvalid="keep")
+    numbered = cut.transform(placed)
+    return numbered.withColumn(
+        output, F.when(F.col("_place").isNull(), F.lit(-1.0)).otherwise(F.col(output))).drop("_place")
 
 
 def running_totals(
@@ -58,12 +81,13 @@ def running_totals(
     """Add ``<weight>_before``: the weight total of all rows ordered before this one.
 
     ``df`` holds one row per (groups, order); pre-aggregate before calling. Ranges cut
-    the first ordering column, which must be numeric or text and never null.
+    the first ordering column, which may be a number, text, date or timestamp; null comes
+    first and NaN last. Their number follows the rows.
     """
     groups = groups or []
     table = materialize(df, "ordered")
     if ranges is None:
-        ranges = min(MAX_RANGES, max(1, ceil(table.count() / rows_per_range)))
+        ranges = max(1, ceil(table.count() / rows_per_range))
     split = with_range(table, order[0], ranges)
     # The cell as one struct: null groups compare equal, and the window and the join
     # below share one shuffle because both hash the same column. No field is a floating
@@ -74,8 +98,6 @@ def running_totals(
     ranked = split.withColumns(
         {f"{w}_before": F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights}
     )
-    if ranges == 1:
-        return ranked.drop("_range", "_cell")
     # At most `ranges` rows per group reach this window.
     earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = split.groupBy(*groups, "_range").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])

@@ -131,8 +131,10 @@ def approximate_split(
     output: str = "split",
 ) -> DataFrame:
     """Like ``random_split`` with a size that is right only on average; no extra pass."""
-    limit = f"{int(test_share * 16**8):08x}"
-    side = F.when(F.substring(row_digest(keys, seed), 1, 8) < limit, "test").otherwise("train")
+    if not 0 <= test_share <= 1:
+        raise ValueError(f"test_share must lie between 0 and 1, not {test_share}")
+    place = F.conv(F.substring(row_digest(keys, seed), 1, 8), 16, 10).cast("long")
+    side = F.when(place < int(test_share * 16**8), "test").otherwise("train")
     return df.withColumn(output, side)
 
 

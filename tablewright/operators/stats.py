@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tablewright.operators.analysis import AGENT, BASELINES
 from tablewright.operators.ranking import distributed_rank, running_totals
+from tablewright.session import materialize
 
 EXACT_UP_TO = 50  # larger or tied samples use the normal approximation
 EPSILON = 1e-10
@@ -146,7 +147,11 @@ def significance_label(p: Column) -> Column:
 
 
 def comparison_table(differences: DataFrame, agent: str = AGENT, **options) -> DataFrame:
-    """One row per baseline: W, p, its label, effect size and sample size."""
+    """One row per baseline: W, p, its label, effect size and sample size.
+
+    The pairing is computed once and written; ranks and effect sizes read it.
+    """
+    differences = materialize(differences, "differences")
     tests = wilcoxon_signed_rank(differences, **options)
     effects = cohens_d(differences).withColumnRenamed("baseline", "_b").drop("n_pairs")
     return tests.join(effects, F.col("baseline") == F.col("_b")).select(

@@ -120,3 +120,18 @@ def test_validation(spark):
                       "hyperparameters": {"max_depth": 20.0, "C": 0.001, "odd": 5.0},
                       "reasoning": specs.NO_REASONING}
     assert third == {"preprocessing": [], "model": "SVC", "hyperparameters": {}, "reasoning": "why"}
+
+
+def test_long_and_repeated_replies(spark):
+    """A reply with very many braces, an open tail, and a key that occurs twice."""
+    from tablewright.functions.replies import parse_spec
+
+    rows = [
+        ("many", "x " + "{}" * 100_000), ("open", "{" * 5_000 + '"model": 1'),
+        ("nested", 'so: {"model": "Ridge", "hyperparameters": {"alpha": 2}} done'),
+        ("twice", '{"model": "A", "model": "Ridge"}'),
+    ]
+    found = parse_spec(spark.createDataFrame(rows, "id string, raw string"), "raw").collect()
+    specs = {r["id"]: r["spec"] for r in found}
+    assert specs["nested"]["hyperparameters"] == {"alpha": 2.0}
+    assert specs["twice"]["model"] == "Ridge" and specs["open"] is None

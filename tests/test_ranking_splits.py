@@ -93,3 +93,34 @@ def test_sample_is_exact_and_whole_when_large_enough(spark):
 def test_approximate_split_share(spark):
     share = splits.approximate_split(spark.range(20000), ["id"]).filter("split = 'test'").count() / 20000
     assert share == pytest.approx(0.2, abs=0.01)
+
+
+@pytest.mark.parametrize("kind", ["double", "date", "timestamp", "timestamp_ntz", "decimal(9,2)", "string", "int"])
+def test_every_type_ranks_alike_in_one_range_and_in_many(spark, kind):
+    """Null first, NaN last, whatever the number of ranges."""
+    days = spark.range(60).select(F.pmod(F.col("id") * 7, F.lit(23)).alias("id"))
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        value = F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).cast(kind)
+    elif kind == "string":
+        value = F.concat(F.lit("same prefix é"), F.col("id").cast("string"))
+    else:
+        value = (F.col("id") - 11).cast(kind)
+    value = F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(value)
+    if kind == "double":
+        value = F.when(F.col("id") == 3, F.lit(float("nan"))).when(F.col("id") == 4, float("inf")).otherwise(value)
+    df = days.select(value.alias("v"))
+    one = ranking.value_ranks(df, "v").collect()
+    many = ranking.value_ranks(df, "v", rows_per_range=2).collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, many))
+    order = {repr(r["v"]): r["average_rank"] for r in one}
+    if kind == "double":
+        assert max(order, key=order.get) == "nan"
+    assert min(order, key=order.get) == "None"
+
+
+def test_approximate_split_at_both_ends(spark):
+    df = spark.range(500)
+    for share, side in ((0.0, "train"), (1.0, "test")):
+        assert splits.approximate_split(df, ["id"], test_share=share).filter(F.col("split") != side).isEmpty()
+    with pytest.raises(ValueError):
+        splits.approximate_split(df, ["id"], test_share=1.5)
