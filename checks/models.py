@@ -11,8 +11,8 @@ from tablewright.operators.splits import stratified_split
 from tablewright.plans.jobs import TableTask, prepare, run_one, with_folds
 from tablewright.plans.models import Ridge
 
-FIELDS = ["dataset", "method", "f1_macro", "accuracy", "precision", "recall", "auc_roc", "rmse", "mae", "r2",
-          "n_pipeline_stages"]
+FIELDS = ("dataset string, method string, n_test long, largest_class long, n_pipeline_stages int, "
+          "scored boolean, better boolean")
 SCALED = ["imputer", "standard_scaler"]
 
 
@@ -41,21 +41,27 @@ def embedding_task(spark, folder):
 
 
 def _scores(make_task, model, **parameters):
+    """Fit on the training rows, score the rest: what was tested, whether the scores are in their
+    bounds, and for figures whether it is better than always saying the mean."""
     def query(spark, folder):
         task = make_task(spark, folder)
         rows, categories, n_labels = prepare(task)
         marked, _ = with_folds(rows, task)
         marked = marked.persist()
         spec = {"preprocessing": SCALED, "model": model, "hyperparameters": parameters}
-        row = run_one(task, model, spec, marked.filter("fold <> 0"), marked.filter("fold = 0"),
-                      categories, n_labels)
+        train, test = marked.filter("fold <> 0"), marked.filter("fold = 0")
+        row = run_one(task, model, spec, train, test, categories, n_labels)
+        sizes = [r["count"] for r in test.groupBy("label").count().collect()] if n_labels else [test.count()]
         marked.unpersist()
         if row.get("n_pipeline_stages") is None:
             raise RuntimeError(f"{model} could not be fitted; the log has the cause")
-        schema = ", ".join(
-            f"{name} {'string' if name in ('dataset', 'method') else 'int' if name == 'n_pipeline_stages' else 'double'}"
-            for name in FIELDS)
-        return spark.createDataFrame([tuple(row.get(name) for name in FIELDS)], schema)
+        if n_labels:
+            scored = 0 <= row["f1_macro"] <= 1 and 0 <= row["precision"] <= 1 and 0 <= row["recall"] <= 1
+            better = None  # the given classes are drawn at random
+        else:
+            scored, better = row["rmse"] >= row["mae"] >= 0, row["r2"] > 0
+        shown = (task.name, model, sum(sizes), max(sizes), row["n_pipeline_stages"], scored, better)
+        return spark.createDataFrame([shown], FIELDS)
 
     return query
 
@@ -116,7 +122,32 @@ _ROWS = """WITH _rows AS (SELECT vec_id, label, cast(embedding as double[]) AS v
  _near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor) AS place FROM ({0}) n)"""
 _ROWS = _ROWS.format(_NEIGHBORS)
 
+_CLASSES = "SELECT cast(round(0.2::double * count(*)) as bigint) AS n FROM {} GROUP BY {}"
+_ALL = "SELECT cast(round(0.2::double * count(*)) as bigint) AS n FROM {}"
+_SIDES = {
+    "lineitem": _CLASSES.format("lineitem", "l_linestatus"), "orders": _CLASSES.format("orders", "o_orderstatus"),
+    "embeddings": _CLASSES.format("embeddings", "label"), "part": _ALL.format("part"),
+}
+
+
+def _tested(name: str, dataset: str, method: str) -> dict[str, str]:
+    return {name: f"""SELECT '{dataset}' AS dataset, '{method}' AS method, cast(sum(n) as bigint) AS n_test,
+ max(n) AS largest_class, 3 AS n_pipeline_stages, true AS scored,
+ {'true' if dataset == 'part' else 'null::boolean'} AS better FROM ({_SIDES[dataset]}) s"""}
+
+
 SQL = {
+    **_tested("logistic_regression", "lineitem", "LogisticRegression"),
+    **_tested("ridge", "part", "Ridge"),
+    **_tested("random_forest_classifier", "orders", "RandomForestClassifier"),
+    **_tested("random_forest_regressor", "part", "RandomForestRegressor"),
+    **_tested("gbt_classifier", "lineitem", "GradientBoostingClassifier"),
+    **_tested("gbt_regressor", "part", "GradientBoostingRegressor"),
+    **_tested("xgb_classifier", "lineitem", "XGBClassifier"),
+    **_tested("xgb_regressor", "part", "XGBRegressor"),
+    **_tested("lgbm_classifier", "lineitem", "LGBMClassifier"),
+    **_tested("lgbm_regressor", "part", "LGBMRegressor"),
+    **_tested("linear_svc", "lineitem", "SVC"),
     "ridge_one_feature": """SELECT count(*) AS n, round(covar_pop(l_quantity, l_extendedprice) * count(*)
  / (var_pop(l_quantity) * count(*) + 1000), 4) AS weight FROM lineitem""",
     "knn_classifier": f"""{_ROWS} SELECT vec_id, label AS prediction FROM (SELECT vec_id, label, row_number() OVER

@@ -106,16 +106,17 @@ class LinearMargin(_BinaryOrRest):
     """Support vector classifier with a linear kernel."""
 
     strength = Param(Params._dummy(), "strength", "C", TypeConverters.toFloat)
+    maxIter = Param(Params._dummy(), "maxIter", "iteration limit", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, strength=1.0, labelCol="label", featuresCol="features"):
+    def __init__(self, *, strength=1.0, maxIter=1000, labelCol="label", featuresCol="features"):
         super().__init__()
         self._set(**self._input_kwargs)
-        self._setDefault(strength=1.0, labelCol="label", featuresCol="features")
+        self._setDefault(strength=1.0, maxIter=1000, labelCol="label", featuresCol="features")
 
     def _learner(self, dataset):
         penalty = 1.0 / (self.getOrDefault("strength") * dataset.count())
-        return LinearSVC(regParam=penalty, standardization=False, maxIter=100)
+        return LinearSVC(regParam=penalty, standardization=False, maxIter=self.getOrDefault("maxIter"))
 
 
 class BoostedClassifier(_BinaryOrRest):
