@@ -10,19 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.components import components
+from tablewright.llm.membership import possibly_in
 from tablewright.llm.wordhash import mix, shingle_sets
 from tablewright.session import materialize
 
 REGISTERS = 256
 MANTISSA_BITS = 18
 BAND_ROWS = 6
-LOW_BITS = 2  # bits of each mantissa that the estimate compares
+LOW_BITS = 4  # bits of each mantissa that the estimate compares
 WORDS = REGISTERS // 64
 _BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(56)
 _U = np.uint64
 
 SKETCH_SCHEMA = (
-    "_id long, n_shingles long, set_a long, set_b long, bands array<long>, "
+    "_id long, n_shingles long, set_a long, set_b long, bands array<long>, marks array<int>, "
     + ", ".join(f"p{i} long" for i in range((LOW_BITS + 1) * WORDS))
 )
 
@@ -88,14 +89,15 @@ def _sketch_rows(ids: pa.Array, sets: list[np.ndarray], least: float) -> pa.Reco
     keys, filled = band_keys(regs)
     counts = np.array([len(s) for s in sets], np.int64)
     filled &= (counts >= least)[:, None]  # smaller sets link with equal ones only
-    bands = pa.ListArray.from_arrays(
-        pa.array(np.concatenate([[0], np.cumsum(filled.sum(axis=1))]).astype(np.int32)),
-        pa.array(keys[filled]))
+    starts = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1])
+    bands = pa.ListArray.from_arrays(starts, pa.array(np.where(filled, keys, 0).ravel()))
     a = np.array([s.sum(dtype=_U) if len(s) else 0 for s in sets], _U).view(np.int64)
     b = np.array([mix(s + _U(7)).sum(dtype=_U) if len(s) else 0 for s in sets], _U).view(np.int64)
-    columns = [ids, pa.array(counts), pa.array(a), pa.array(b), bands]
+    marks = np.where(filled, (keys.view(_U) >> _U(34)).astype(np.int64) + 1, 0).astype(np.int32)
+    marks = pa.ListArray.from_arrays(starts, pa.array(marks.ravel()))
+    columns = [ids, pa.array(counts), pa.array(a), pa.array(b), bands, marks]
     columns += [pa.array(column) for column in packed(regs).T.copy()]
-    names = ["_id", "n_shingles", "set_a", "set_b", "bands"]
+    names = ["_id", "n_shingles", "set_a", "set_b", "bands", "marks"]
     names += [f"p{i}" for i in range((LOW_BITS + 1) * WORDS)]
     return pa.RecordBatch.from_arrays(columns, names)
 
@@ -118,8 +120,10 @@ def _alike(percent: int) -> Column:
     """Whether two sketches may belong to sets that are alike enough.
 
     Registers that differ in the compared bits are counted over the registers filled on
-    either side. Equal bits may be a collision (one in four for two bits), which the estimate
-    takes out. Five standard deviations of slack keep true links.
+    either side. Equal bits may be a collision (one in sixteen for four bits), which the
+    estimate takes out. Filled registers are a draw without replacement from the union,
+    so small sets are estimated almost exactly. Four standard deviations of slack keep true
+    links.
     """
     def differ(i: int) -> Column:
         parts = [F.col(f"x.p{i + k * WORDS}").bitwiseXOR(F.col(f"y.p{i + k * WORDS}"))
@@ -131,11 +135,24 @@ def _alike(percent: int) -> Column:
 
     different = sum((differ(i) for i in range(WORDS)), F.lit(0))
     filled = sum((F.bit_count(F.col(f"x.p{i}").bitwiseOR(F.col(f"y.p{i}"))) for i in range(WORDS)), F.lit(0))
-    least = percent / 100
-    estimate = 1 - different / filled / (1 - 0.5**LOW_BITS)
+    least, equal = percent / 100, 0.5**LOW_BITS
+    estimate = 1 - different / filled / (1 - equal)
+    union = (F.col("x.n_shingles") + F.col("y.n_shingles")) / (1 + least)
+    unseen = F.greatest(1 - filled / union, F.lit(0.0))
+    variance = (least * (1 - least) * unseen + (1 - least) * equal * (1 - equal)) / filled
     sizes = (F.least("x.n_shingles", "y.n_shingles") * 100
              >= F.greatest("x.n_shingles", "y.n_shingles") * percent)
-    return sizes & (estimate >= least - 5 * F.sqrt(least * (1 - least) / filled) / (1 - 0.5**LOW_BITS))
+    return sizes & (estimate >= least - 4 * F.sqrt(variance) / (1 - equal) - 1 / filled)
+
+
+def _first_shared(band: str) -> Column:
+    """Whether two sketches share no band before this one, so that a pair is made once."""
+    bands = REGISTERS // BAND_ROWS
+    earlier = F.lit(False)
+    for i in range(bands):
+        x, y = F.col("x.marks")[i], F.col("y.marks")[i]
+        earlier = earlier | ((F.col(band) > i) & (x == y) & (x != 0))
+    return ~earlier
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -144,11 +161,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list, percent: int) -> DataFrame:
-    """Ordered pairs of ``left`` and ``right`` (columns ``_id``, ``sign``) that may be alike."""
+def _pairs(left: DataFrame, right: DataFrame, on: list, test: Column) -> DataFrame:
+    """Ordered pairs of ``left`` and ``right`` (columns ``_id``, ``sign``) that pass the test."""
     x = left.withColumnsRenamed({"_id": "a", "sign": "x"})
     y = right.withColumnsRenamed({"_id": "b", "sign": "y"})
-    found = x.join(y, on).filter(_alike(percent))
+    found = x.join(y, on).filter(test)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -182,15 +199,17 @@ def near_duplicates(
 
     reps = filled.join(classes.withColumnRenamed("rep", "_id"), [*key, "_id"], "left_semi")
     reps = reps.dropDuplicates([*key, "_id"])
-    sign = F.struct("n_shingles", *[c for c in sketches.columns if c[0] == "p"]).alias("sign")
-    banded = reps.select("_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    sign = F.struct("n_shingles", "marks", *[c for c in sketches.columns if c[0] == "p"]).alias("sign")
+    # Dealt out once: the counts and the join read the same shuffle.
+    banded = reps.select("_id", F.posexplode("bands").alias("place", "band")).filter("band <> 0").repartition("band")
+    shared = banded.groupBy("band").agg(F.count("_id").alias("members"), F.max("place").alias("_")).filter("members > 1")
+    shared = shared.drop("_")
     members = materialize(banded.join(shared, "band"), "bands")
     central = members.groupBy("_id").agg(F.sum("members").alias("weight"))
     central = materialize(central, "central")
     signs = materialize(reps.select("_id", sign).join(central, "_id", "left_semi"), "signs")
-    texts = source.join(central, "_id", "left_semi").dropDuplicates()
-    texts = materialize(texts, "texts")
+    texts = possibly_in(source, "_id", central, "_id").join(central, "_id").select("_id", "_text")
+    texts = materialize(texts.dropDuplicates(), "texts")
 
     weighted = members.join(central, "_id")
     hubs = weighted.groupBy("band").agg(
@@ -198,20 +217,21 @@ def near_duplicates(
     hubs = hubs.select("band", F.negate("top.minus").alias("hub"))
     to_hub = members.join(hubs, "band").filter("_id <> hub").select("_id", "hub").distinct()
     near = to_hub.join(signs, "_id")
-    first = _pairs(near, signs, [F.col("hub") == F.col("b")], percent)
+    first = _pairs(near, signs, [F.col("hub") == F.col("b")], _alike(percent))
     first = materialize(first, "candidates")
     links = materialize(_confirmed(first, texts, size, percent), "confirmed")
 
     found = materialize(components(links), "components").toDF("_id", "component")
     placed = members.join(found, "_id", "left").select(
-        "band", "_id", F.coalesce("component", "_id").alias("component"))
+        "band", "place", "_id", F.coalesce("component", "_id").alias("component"))
     placed = materialize(placed.distinct(), "placed")
     split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     split = split.filter("low <> high").select("band")
     open_rows = materialize(placed.join(split, "band").join(signs, "_id"), "open")
     left, right = open_rows.withColumnRenamed("component", "cx"), open_rows.withColumnRenamed("component", "cy")
     apart = [F.col("left.band") == F.col("right.band"), F.col("cx") != F.col("cy"), F.col("a") < F.col("b")]
-    second = _pairs(left.alias("left"), right.alias("right"), apart, percent)
+    once = _alike(percent) & _first_shared("left.place")
+    second = _pairs(left.alias("left"), right.alias("right"), apart, once)
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "candidates")
     more = materialize(_confirmed(second, texts, size, percent), "confirmed")
     if not more.isEmpty():
