@@ -93,8 +93,8 @@ def _sketch_rows(ids: pa.Array, sets: list[np.ndarray], least: float) -> pa.Reco
     bands = pa.ListArray.from_arrays(starts, pa.array(np.where(filled, keys, 0).ravel()))
     a = np.array([s.sum(dtype=_U) if len(s) else 0 for s in sets], _U).view(np.int64)
     b = np.array([mix(s + _U(7)).sum(dtype=_U) if len(s) else 0 for s in sets], _U).view(np.int64)
-    marks = np.where(filled, (keys.view(_U) >> _U(34)).astype(np.int64) + 1, 0).astype(np.int32)
-    marks = pa.ListArray.from_arrays(starts, pa.array(marks.ravel()))
+    marks = (keys.view(_U) >> _U(33)).astype(np.int32).ravel()
+    marks = pa.ListArray.from_arrays(starts, pa.array(marks, mask=~filled.ravel()))
     columns = [ids, pa.array(counts), pa.array(a), pa.array(b), bands, marks]
     columns += [pa.array(column) for column in packed(regs).T.copy()]
     names = ["_id", "n_shingles", "set_a", "set_b", "bands", "marks"]
@@ -116,15 +116,26 @@ def _confirm(batches, size: int, percent: int):
             [batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
-def _alike(percent: int) -> Column:
-    """Whether two sketches may belong to sets that are alike enough.
+def _limit(percent: int) -> Column:
+    """How many registers of a sketch may differ from those of a set that is alike enough.
 
-    Registers that differ in the compared bits are counted over the registers filled on
-    either side. Equal bits may be a collision (one in sixteen for four bits), which the
-    estimate takes out. Filled registers are a draw without replacement from the union,
-    so small sets are estimated almost exactly. Four standard deviations of slack keep true
-    links.
+    The estimate is 1 - differing / filled / (1 - collisions): equal low bits of different
+    registers (one in sixteen for four bits) are taken out. Filled registers are a draw without
+    replacement from the union, so small sets are estimated almost exactly. Solved for the
+    differing ones with four standard deviations of slack, and with the largest union that a set of
+    this size allows, it is a number of each sketch, and the join only counts bits.
     """
+    least, equal = percent / 100, 0.5**LOW_BITS
+    own = sum((F.bit_count(F.col(f"p{i}")) for i in range(WORDS)), F.lit(0))
+    union = F.col("n_shingles") * 2 / (1 + least)
+    filled = F.least(F.lit(float(REGISTERS)), own + union - F.col("n_shingles"))
+    unseen = F.greatest(1 - own / union, F.lit(0.0))
+    spread = filled * (least * (1 - least) * unseen + (1 - least) * equal * (1 - equal))
+    return F.ceil((1 - least) * (1 - equal) * filled + 4 * F.sqrt(spread) + 1).cast("int")
+
+
+def _alike(percent: int) -> Column:
+    """Whether two sketches may belong to sets that are alike enough."""
     def differ(i: int) -> Column:
         parts = [F.col(f"x.p{i + k * WORDS}").bitwiseXOR(F.col(f"y.p{i + k * WORDS}"))
                  for k in range(LOW_BITS + 1)]
@@ -133,26 +144,16 @@ def _alike(percent: int) -> Column:
             joined = joined.bitwiseOR(part)
         return F.bit_count(joined)
 
-    different = sum((differ(i) for i in range(WORDS)), F.lit(0))
-    filled = sum((F.bit_count(F.col(f"x.p{i}").bitwiseOR(F.col(f"y.p{i}"))) for i in range(WORDS)), F.lit(0))
-    least, equal = percent / 100, 0.5**LOW_BITS
-    estimate = 1 - different / filled / (1 - equal)
-    union = (F.col("x.n_shingles") + F.col("y.n_shingles")) / (1 + least)
-    unseen = F.greatest(1 - filled / union, F.lit(0.0))
-    variance = (least * (1 - least) * unseen + (1 - least) * equal * (1 - equal)) / filled
+    different = sum((differ(i) for i in range(1, WORDS)), differ(0))
     sizes = (F.least("x.n_shingles", "y.n_shingles") * 100
              >= F.greatest("x.n_shingles", "y.n_shingles") * percent)
-    return sizes & (estimate >= least - 4 * F.sqrt(variance) / (1 - equal) - 1 / filled)
+    return sizes & (different <= F.greatest("x.limit", "y.limit"))
 
 
-def _first_shared(band: str) -> Column:
+def _first_shared(place: str) -> Column:
     """Whether two sketches share no band before this one, so that a pair is made once."""
-    bands = REGISTERS // BAND_ROWS
-    earlier = F.lit(False)
-    for i in range(bands):
-        x, y = F.col("x.marks")[i], F.col("y.marks")[i]
-        earlier = earlier | ((F.col(band) > i) & (x == y) & (x != 0))
-    return ~earlier
+    before = [F.slice(f"{side}.marks", F.lit(1), F.col(place)) for side in ("x", "y")]
+    return ~F.coalesce(F.arrays_overlap(*before), F.lit(False))  # null: an empty band
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -199,7 +200,8 @@ def near_duplicates(
 
     reps = filled.join(classes.withColumnRenamed("rep", "_id"), [*key, "_id"], "left_semi")
     reps = reps.dropDuplicates([*key, "_id"])
-    sign = F.struct("n_shingles", "marks", *[c for c in sketches.columns if c[0] == "p"]).alias("sign")
+    sign = F.struct("n_shingles", "marks", _limit(percent).alias("limit"),
+                    *[c for c in sketches.columns if c[0] == "p"]).alias("sign")
     # Dealt out once: the counts and the join read the same shuffle.
     banded = reps.select("_id", F.posexplode("bands").alias("place", "band")).filter("band <> 0").repartition("band")
     shared = banded.groupBy("band").agg(F.count("_id").alias("members"), F.max("place").alias("_")).filter("members > 1")
