@@ -155,6 +155,20 @@ def test_lines_that_repeat_go_and_near_ones_too(spark):
     assert found[4]["n_lines"] == 0 and found[5]["dropped"] == []
 
 
+def test_lines_with_a_changed_word_go_whatever_their_length(spark):
+    random = np.random.default_rng(7)
+    rows = []
+    for size in (10, 12, 20, 50, 100, 600):
+        for _ in range(15):
+            words = ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(size)]
+            other = list(words)
+            other[random.integers(size)] = "".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    rows += [(1000, "one two three four"), (1001, "one two thrice fore")]
+    found = {r["doc_id"]: r["dropped"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: [0] if i % 2 and i < 1000 else [] for i, _ in rows}
+
+
 def test_exact_repeats_of_lines_agree_with_brute_force(docs):
     found = {r["doc_id"]: r["dropped"] for r in dedup_lines(docs).collect()}
     seen, exact = set(), 0
