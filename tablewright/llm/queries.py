@@ -89,7 +89,7 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that each document loses, of all documents."""
-    found = dedup_lines(_table(spark, folder, "documents"))
+    found = dedup_lines(_table(spark, folder, "documents"), least_words=1)
     return found.select(
         "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
         F.concat_ws(",", F.transform("dropped", lambda p: p.cast("string"))).alias("dropped"))

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
+from tablewright.llm import queries as registered
 from tablewright.llm.components import components
 from tablewright.llm.decontaminate import align, find_leaks
 from tablewright.llm.line_dedup import dedup_lines, without_lines
@@ -184,6 +185,20 @@ def test_exact_repeats_of_lines_agree_with_brute_force(docs):
     assert exact and sum(map(len, found.values())) >= exact
 
 
+def test_query_drops_repeats_of_short_lines_too(spark, folder, docs):
+    found = {r["doc_id"]: r["dropped"].split(",") for r in registered.op9_line_dedup(spark, folder).collect()}
+    seen, short = set(), 0
+    for row in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        for place, line in enumerate((row["text"] or "").split("\n")):
+            words = tuple(WORD.findall(line.lower()))
+            if words in seen:
+                short += len(words) < 4
+                assert str(place) in found[row["doc_id"]]
+            elif words:
+                seen.add(words)
+    assert short
+
+
 def test_lines_of_odd_rows(odd_docs):
     rows = dedup_lines(odd_docs).collect()
     assert len(rows) == 13
