@@ -1,10 +1,10 @@
-"""Training passages that repeat benchmark items: rare n-gram seeds, then local alignment."""
+"""Training passages that repeat benchmark items: n-gram seeds, then local alignment."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.membership import possibly_in
@@ -126,14 +126,13 @@ def _score(batches, least: float):
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", least: float = 0.5, rare_share: float = 1e-3,
+    item_col: str = "item_id", item_text_col: str = "text", least: float = 0.5,
 ) -> DataFrame:
     """Passages that repeat a benchmark item: ``doc_id, item_id, score, start_word, end_word``.
 
     Words are runs of letters and digits, lower case. Three-word grams of whole texts are
-    held against the items' grams. An item's seeds are its rarer half in the corpus, however
-    frequent these are, and every further gram seen no more often than ``rare_share`` times
-    the number of documents. Seeds that lie on nearby diagonals
+    held against the items' grams. Every gram of an item is a seed, however
+    frequent it is. Seeds that lie on nearby diagonals
     give a window, whose words are aligned with the item's (2 a match, -1 a
     mismatch or gap). ``score`` is the best local score over that of a whole copy; pairs of at
     least ``least`` are returned, one row per document and item, its best passage as
@@ -152,13 +151,7 @@ def find_leaks(
         lambda batches: _seen(batches, SEED_WORDS, known), "doc_id long, at long, gram long")
     seen = materialize(seen.join(grams.select("gram").distinct(), "gram", "left_semi"), "seen")
 
-    counts = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarity = grams.join(counts, "gram", "left").fillna(0, ["n"])
-    by_rarity = Window.partitionBy("item_id").orderBy("n", "place")
-    ranked = rarity.withColumn("rank", F.row_number().over(by_rarity))
-    usual = max(1.0, rare_share * docs.count())
-    seeds = ranked.filter((F.col("rank") * 2 <= F.col("words") - SEED_WORDS + 2) | (F.col("n") <= usual))
-    seeds = materialize(seeds.select("gram", "item_id", "place", "words"), "seeds")
+    seeds = grams.select("gram", "item_id", "place", "words")
 
     width = F.greatest(F.col("words"), F.lit(16))
     shift = F.col("at") - F.col("place")

@@ -135,6 +135,16 @@ def test_leaks_exact_edited_and_clean(spark):
     assert find_leaks(table.limit(0), table.selectExpr("doc_id as item_id", "text")).count() == 0
 
 
+def test_edited_copy_of_an_item_that_many_documents_hold(spark):
+    copied = [f"item{i}" for i in range(40)]
+    edited = [f"changed{i}" if i < 20 and i % 3 == 2 else w for i, w in enumerate(copied)]
+    rows = [(i, " ".join(copied)) for i in range(30)] + [(30, "before " + " ".join(edited))]
+    rows += [(i, f"filler{i} text") for i in range(31, 1000)]
+    items = spark.createDataFrame([(1, " ".join(copied))], "item_id long, text string")
+    found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {r["doc_id"] for r in found} == set(range(31))
+
+
 def test_leaks_of_odd_rows(odd_docs, spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta", 5)], "item_id long, text string, doc_id int")
     assert {r["doc_id"] for r in find_leaks(odd_docs, items).collect()} == {1, 2, 3}
