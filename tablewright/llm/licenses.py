@@ -68,7 +68,7 @@ def find_notices(
     """Notices in whole texts: ``id, license, cosine, place, words`` (word number, window length).
 
     Wherever an anchor word stands, the words around it are cut to a window that lies as
-    the template lies around the same anchor, and both are compared by the cosine of their TF-IDF vectors.
+    the template lies around the same anchor (clipped at the start of the text), and both are compared by the cosine of their TF-IDF vectors.
     Document frequencies of the template terms are counted over all texts; other words count as
     seen once. One row per file and licence, its best window; ties go to the earlier template and place.
     """
@@ -91,10 +91,13 @@ def find_notices(
     lying = known.select("template", "license", F.size("words").alias("n"), F.posexplode("words").alias("off", "anchor"))
     lying = lying.filter(F.col("anchor").isin(ANCHORS))
     windows = places.join(F.broadcast(lying), "anchor").select(  # one row per template and anchor in it
-        "id", "template", "license", "n", (F.col("at") - F.col("off")).alias("place"), "w").filter("place >= 0")
+        "id", "template", "license", "n", (F.col("at") - F.col("off")).alias("place"), "w")
+    # At the start of a text a window may lack the template's first words; it holds those that are there.
     windows = windows.select(
-        "id", "template", "license", "n", "place", F.slice("w", F.greatest(F.col("place") + 1, F.lit(1)), F.col("n")).alias("part"))
-    windows = windows.dropDuplicates(["id", "template", "place", "part"])
+        "id", "template", "license", F.expr("n + least(place, 0)").alias("n"), F.greatest("place", F.lit(0)).alias("place"), "w")
+    windows = windows.select(
+        "id", "template", "license", "n", "place", F.slice("w", F.col("place") + 1, F.col("n")).alias("part"))
+    windows = windows.dropDuplicates(["id", "template", "place", "n", "part"])
     key = ["id", "template", "license", "n", "place", "part"]
     left = _weights(windows.select(*key, F.explode("part").alias("term")), key, idf, most)
     right = _weights(known.select("template", F.explode("words").alias("term")), ["template"], idf, most)

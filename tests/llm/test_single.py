@@ -314,6 +314,14 @@ def test_licenses_own_and_inherited(spark):
         8: ("MIT", "own", None), 9: (None, None, None)}
 
 
+def test_license_at_the_start_without_its_first_word(spark):
+    text = "Work is licensed under the GNU General Public License, version 3."
+    rows = [(1, "x/a", text), (2, "y/b", "Text. " + text), (3, "z/c", "licensed")]
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    licenses = {r["doc_id"]: r["license"] for r in found}
+    assert licenses[1] == "GPL-3.0" and licenses[3] is None
+
+
 def test_licenses_of_odd_rows(odd_docs):
     table = odd_docs.withColumn("path", F.col("source"))
     assert {r["license"] for r in scan_licenses(table).collect()} == {None}
