@@ -30,4 +30,4 @@ def test_run_gives_all_stages(spark, folder):
 
 def test_every_operator_has_a_query():
     names = {name.split("_")[0] for name in registered.QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)} and set(registered.SQL) <= set(registered.QUERIES)
+    assert names == {f"op{n}" for n in range(1, 14)} and set(registered.SQL) <= set(registered.QUERIES)
