@@ -111,6 +111,18 @@ def test_alignment_of_odd_tables(spark, odd_docs):
     assert ta.align_tokens(odd_docs.limit(0), *FILES).count() == 0
 
 
+def test_ranked_merges_equal_the_files_own_tokenizer(spark, folder):
+    aligner = ta.Aligner(*[open(f, "rb").read() for f in FILES])
+    assert aligner.ranked
+    texts = [f"a{c}b 1{c}2 {c}{c}  {c} '{c}!" for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000)])]
+    texts += [t or "" for t in plain_texts(spark, folder)] + [" " * 50_000 + "x", "a" * 30_000]
+    ranked = [aligner.ranked.encode_ordinary(t) for t in texts]
+    assert ranked == [e.ids for e in aligner.a.encode_batch_fast(texts, add_special_tokens=False)]
+    long = "word" + "\n" * 2_000_000 + " end"
+    columns, _, counts = aligner.align([long, ""])
+    assert columns["n_a"][0] > 1_000 and columns["n_links"].tolist() == [counts.sum(), 0]
+
+
 # --- filter audit
 
 def test_intervals_cover_every_removal_once():
