@@ -143,9 +143,8 @@ def run_one(
     row: dict = {"run_id": str(uuid.uuid4()), "dataset": task.name, "method": method, "fold": fold}
     try:
         exclude = [*task.keys, "fold"]
-        key = task.keys[0] if len(task.keys) == 1 else None
         pipeline: Pipeline = build_pipeline(
-            spec, exclude, categories, key, fixed_preprocessing, coded
+            spec, exclude, categories, list(task.keys), fixed_preprocessing, coded
         )
         started = time.perf_counter()
         fitted = pipeline.fit(train)

@@ -8,6 +8,7 @@ the label), which one aggregate over the training rows supplies.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -15,24 +16,24 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablewright.functions.specs import FALLBACK_REGRESSOR, MODEL_PARAMETERS
-from tablewright.operators.neighbors import knn_classify
+from tablewright.operators import boosting
+from tablewright.operators.forest import LOCAL_ROWS, ForestGrowth, fit_forest, forest_scores
+from tablewright.operators.margins import FOURIER, FourierMap, margin_cells, platt, share_of, spread_of_features
+from tablewright.operators.neighbors import nearest_neighbors, vote
+from tablewright.session import materialize
 
 SEED = 42
-# Trees are grown level by level over all rows, each level holding statistics for every
-# open node, so trees without a limit are out of reach on large tables. ``max_depth``
-# may ask for up to 30.
-FOREST_DEPTH = 12
 TREE_MEMORY_MB = 1024
 
 
@@ -88,39 +89,168 @@ def _class_count(dataset, label: str) -> int:
     return int(dataset.agg(F.max(F.col(label))).first()[0]) + 1
 
 
-class _BinaryOrRest(_Supervised):
-    """A two-class learner; more classes are fitted one against the rest."""
-
-    def _learner(self, dataset):
-        raise NotImplementedError
-
-    def _fit(self, dataset):
-        learner = self._named(self._learner(dataset))
-        if _class_count(dataset, self.getLabelCol()) <= 2:
-            return learner.fit(dataset)
-        rest = OneVsRest(classifier=learner, parallelism=2)
-        return self._named(rest).fit(dataset)
+class MarginModel(Model):
+    """One margin per class against the rest (one in all for two classes), with calibrated shares."""
 
+    def __init__(self, map_=None, learners=(), calibration=(), features=None):
+        super().__init__()
+        self.map_, self.learners, self.calibration, self.features = map_, list(learners), list(calibration), features
 
-class LinearMargin(_BinaryOrRest):
-    """Support vector classifier with a linear kernel."""
+    def _transform(self, dataset):
+        rows = dataset.withColumn("_mapped", self.map_.column(self.features) if self.map_ else F.col(self.features))
+        margins = []
+        for i, learner in enumerate(self.learners):
+            rows = rows.withColumn(f"_m{i}", _margin(learner, "_mapped"))
+            margins.append(F.col(f"_m{i}"))
+        shares = [share_of(m, *ab) for m, ab in zip(margins, self.calibration)]
+        if len(margins) == 1:
+            margins, shares = [-margins[0], margins[0]], [1 - shares[0], shares[0]]
+        rows = rows.withColumns({"_margins": F.array(*margins), "_shares": F.array(*shares)})
+        total = F.aggregate("_shares", F.lit(0.0), lambda a, x: a + x)
+        best = F.array_position("_margins", F.array_max("_margins")) - 1
+        return rows.withColumns({
+            "rawPrediction": array_to_vector(F.col("_margins")),
+            "probability": array_to_vector(F.transform("_shares", lambda x: x / F.greatest(total, F.lit(1e-300)))),
+            "prediction": best.cast("double"),
+        }).drop("_mapped", "_margins", "_shares", *[f"_m{i}" for i in range(len(self.learners))])
+
+
+def _margin(learner, features: str) -> Column:
+    """The margin of a fitted linear classifier: one product per feature, inside generated code."""
+    weights = F.lit([float(w) for w in learner.coefficients])
+    parts = F.zip_with(vector_to_array(F.col(features)), weights, lambda x, w: x * w)
+    return F.aggregate(parts, F.lit(float(learner.intercept)), lambda a, x: a + x)
+
+
+class KernelMargin(_Supervised):
+    """Support vector classifier with scores.
+
+    ``kernel`` "rbf" draws random Fourier features of the Gaussian kernel before the linear margin
+    (``gamma`` 0 stands for 1 / (features * their variance)); "linear" takes the features as they are. More
+    than two classes are fitted one against the rest. The margins of held-out folds, counted in
+    cells, calibrate the probabilities.
+    """
 
     strength = Param(Params._dummy(), "strength", "C", TypeConverters.toFloat)
     maxIter = Param(Params._dummy(), "maxIter", "iteration limit", TypeConverters.toInt)
+    kernel = Param(Params._dummy(), "kernel", "rbf or linear", TypeConverters.toString)
+    gamma = Param(Params._dummy(), "gamma", "width of the kernel", TypeConverters.toFloat)
+    width = Param(Params._dummy(), "width", "random features", TypeConverters.toInt)
+    folds = Param(Params._dummy(), "folds", "folds for calibration", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, strength=1.0, maxIter=1000, labelCol="label", featuresCol="features"):
+    def __init__(self, *, strength=1.0, maxIter=100, kernel="rbf", gamma=0.0, width=FOURIER, folds=3,
+                 labelCol="label", featuresCol="features"):
         super().__init__()
         self._set(**self._input_kwargs)
-        self._setDefault(strength=1.0, maxIter=1000, labelCol="label", featuresCol="features")
+        self._setDefault(strength=1.0, maxIter=100, kernel="rbf", gamma=0.0, width=FOURIER, folds=3,
+                         labelCol="label", featuresCol="features")
 
-    def _learner(self, dataset):
-        penalty = 1.0 / (self.getOrDefault("strength") * dataset.count())
-        return LinearSVC(regParam=penalty, standardization=False, maxIter=self.getOrDefault("maxIter"))
+    def _fit(self, dataset):
+        get = self.getOrDefault
+        features, folds = self.getFeaturesCol(), get("folds")
+        n_classes = max(_class_count(dataset, self.getLabelCol()), 2)
+        map_, mapped = None, F.col(features)
+        if get("kernel") == "rbf":
+            size, spread_ = spread_of_features(dataset, features)
+            gamma = get("gamma") or (1 / (size * spread_) if size * spread_ > 0 else 1.0)
+            map_ = FourierMap(size, gamma, get("width"), SEED)
+            mapped = map_.column(features)
+        # Equal rows share a fold, and a fold is the same after a lost task.
+        fold = F.pmod(F.xxhash64(vector_to_array(F.col(features)).cast("string"), F.lit(SEED)), F.lit(folds))
+        rows = dataset.select(mapped.alias("_mapped"), F.col(self.getLabelCol()).alias("_class"), fold.alias("_fold"))
+        rows = materialize(rows, "margins")
+        learners, calibration = [], []
+        for k in [1] if n_classes == 2 else range(n_classes):
+            one = rows.select("_mapped", "_fold", (F.col("_class") == k).cast("double").alias("_one"))
+            learners.append(self._margin_of(one))
+            held = None
+            for f in range(folds):
+                rest, out = one.filter(F.col("_fold") != f), one.filter(F.col("_fold") == f)
+                if rest.select("_one").distinct().count() < 2:
+                    continue  # too few rows to hold any out
+                part = out.select(_margin(self._margin_of(rest), "_mapped").alias("margin"), "_one")
+                held = part if held is None else held.unionByName(part)
+            calibration.append(platt(margin_cells(held, "margin", "_one") if held is not None else []))
+        return MarginModel(map_, learners, calibration, features)
+
+    def _margin_of(self, rows):
+        penalty = 1.0 / (self.getOrDefault("strength") * max(rows.count(), 1))
+        return LinearSVC(regParam=penalty, standardization=False, maxIter=self.getOrDefault("maxIter"),
+                         featuresCol="_mapped", labelCol="_one").fit(rows)
+
+
+class HistogramModel(Model):
+    """Boosted trees on binned features; classifiers add ``rawPrediction`` and ``probability``."""
+
+    def __init__(self, boosted=None, features=None):
+        super().__init__()
+        self.boosted, self.features = boosted, features
 
+    def first_rounds(self, rounds: int) -> "HistogramModel":
+        """The model as it was after so many rounds."""
+        kept = replace(self.boosted, rounds=self.boosted.rounds[:rounds])
+        return HistogramModel(kept, self.features)
 
-class BoostedClassifier(_BinaryOrRest):
-    """Gradient boosted trees for any number of classes."""
+    def _transform(self, dataset):
+        rows = boosting.with_scores(dataset, self.features, self.boosted, "_raw")
+        if self.boosted.objective == boosting.SQUARED:
+            return rows.withColumn("prediction", F.get("_raw", 0)).drop("_raw")
+        if self.boosted.objective == boosting.LOGISTIC:
+            share = 1 / (1 + F.exp(-F.get("_raw", 0)))
+            rows = rows.withColumn("_share", F.array(1 - share, share))
+            rows = rows.withColumn("_raw", F.array(-F.get("_raw", 0), F.get("_raw", 0)))
+        else:
+            rows = rows.withColumn("_share", F.expr(boosting.class_shares("_raw")))
+        best = F.array_position("_raw", F.array_max("_raw")) - 1
+        return rows.withColumns({
+            "rawPrediction": array_to_vector(F.col("_raw")), "probability": array_to_vector(F.col("_share")),
+            "prediction": best.cast("double")}).drop("_raw", "_share")
+
+
+class HistogramBoosting(_Supervised):
+    """Boosted trees grown best first over binned features, all classes of a round together.
+
+    ``leaves`` bounds the leaves of a tree; 0 leaves that to ``depth``.
+    """
+
+    kind = Param(Params._dummy(), "kind", "classification or regression", TypeConverters.toString)
+    rounds = Param(Params._dummy(), "rounds", "boosting rounds", TypeConverters.toInt)
+    depth = Param(Params._dummy(), "depth", "tree depth", TypeConverters.toInt)
+    leaves = Param(Params._dummy(), "leaves", "leaves of a tree", TypeConverters.toInt)
+    rate = Param(Params._dummy(), "rate", "learning rate", TypeConverters.toFloat)
+    sample = Param(Params._dummy(), "sample", "row share per round", TypeConverters.toFloat)
+    ridge = Param(Params._dummy(), "ridge", "added to Hessian sums", TypeConverters.toFloat)
+    leastRows = Param(Params._dummy(), "leastRows", "rows of a leaf", TypeConverters.toInt)
+    leastHessian = Param(Params._dummy(), "leastHessian", "Hessian of a leaf", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, kind="classification", rounds=100, depth=6, leaves=0, rate=0.1, sample=1.0, ridge=0.0,
+                 leastRows=1, leastHessian=1e-3, labelCol="label", featuresCol="features"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+        self._setDefault(kind="classification", rounds=100, depth=6, leaves=0, rate=0.1, sample=1.0, ridge=0.0,
+                         leastRows=1, leastHessian=1e-3, labelCol="label", featuresCol="features")
+
+    def _fit(self, dataset):
+        get = self.getOrDefault
+        growth = boosting.Growth(
+            rounds=get("rounds"), depth=get("depth"), leaves=get("leaves") or None, rate=get("rate"),
+            ridge=get("ridge"), least_rows=get("leastRows"), least_hessian=get("leastHessian"),
+            sample=get("sample"), seed=SEED)
+        rows = dataset.select(
+            vector_to_array(self.getFeaturesCol()).alias("_features"), F.col(self.getLabelCol()).alias("_label"))
+        objective, classes = boosting.SQUARED, 1
+        if get("kind") == "classification":
+            classes = _class_count(dataset, self.getLabelCol())
+            objective = boosting.LOGISTIC if classes <= 2 else boosting.SOFTMAX
+        boosted = boosting.fit_boosting(rows, "_features", "_label", objective, classes, growth)
+        return HistogramModel(boosted, self.getFeaturesCol())
+
+
+class BoostedClassifier(_Supervised):
+    """Gradient boosted trees for any number of classes: MLlib's for two, joint trees on shared
+    residuals, one per class and round, for more."""
 
     rounds = Param(Params._dummy(), "rounds", "boosting rounds", TypeConverters.toInt)
     depth = Param(Params._dummy(), "depth", "tree depth", TypeConverters.toInt)
@@ -135,52 +265,123 @@ class BoostedClassifier(_BinaryOrRest):
         self._setDefault(rounds=100, depth=3, rate=0.1, sample=1.0,
                          labelCol="label", featuresCol="features")
 
-    def _learner(self, dataset):
-        return GBTClassifier(
-            maxIter=self.getOrDefault("rounds"),
-            maxDepth=self.getOrDefault("depth"),
-            stepSize=self.getOrDefault("rate"),
-            subsamplingRate=self.getOrDefault("sample"),
+    def _fit(self, dataset):
+        get = self.getOrDefault
+        if _class_count(dataset, self.getLabelCol()) > 2:
+            return HistogramBoosting(
+                rounds=get("rounds"), depth=get("depth"), rate=get("rate"), sample=get("sample"),
+                labelCol=self.getLabelCol(), featuresCol=self.getFeaturesCol()).fit(dataset)
+        return self._named(GBTClassifier(
+            maxIter=get("rounds"),
+            maxDepth=get("depth"),
+            stepSize=get("rate"),
+            subsamplingRate=get("sample"),
             seed=SEED,
             maxMemoryInMB=TREE_MEMORY_MB,
-        )
+        )).fit(dataset)
 
 
 class NeighborsModel(Model):
-    def __init__(self, train=None, key=None, label=None, features=None, k=5):
+    """Votes of the k nearest rows: ``prediction``, and ``probability``, the share of the votes per class."""
+
+    def __init__(self, train=None, keys=None, label=None, features=None, k=5, classes=2):
         super().__init__()
-        self.train, self.key, self.label, self.features, self.k = train, key, label, features, k
+        self.train, self.keys, self.label, self.features, self.k = train, keys, label, features, k
+        self.classes = classes
 
     def _transform(self, dataset):
-        queries = dataset.select(self.key, vector_to_array(self.features).alias("_vector"))
-        found = knn_classify(self.train, queries, self.key, "_vector", self.label, self.k)
-        return dataset.join(found, self.key, "left")
+        asked = dataset.select(_row_key(self.keys), vector_to_array(self.features).alias("_vector"))
+        found = nearest_neighbors(self.train, asked, "_key", "_vector", self.label, self.k)
+        found = materialize(found, "neighbors")
+        votes = [F.avg((F.col(self.label) == c).cast("double")) for c in range(self.classes)]
+        shares = found.groupBy("_key").agg(F.array(*votes).alias("_shares"))
+        chosen = vote(found, "_key", self.label)
+        joined = dataset.withColumn("_key", _row_key(self.keys)).join(chosen, "_key", "left").join(shares, "_key", "left")
+        return joined.withColumn("probability", array_to_vector("_shares")).drop("_key", "_shares")
+
+
+def _row_key(keys: list[str]) -> Column:
+    """One column that identifies a row by all its keys."""
+    if len(keys) == 1:
+        return F.col(keys[0]).alias("_key")
+    return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
 
 
 class Neighbors(_Supervised):
-    """Exact k nearest neighbours; ``keyCol`` must identify the rows."""
+    """Exact k nearest neighbours; ``keyCols`` together must identify the rows."""
 
     k = Param(Params._dummy(), "k", "neighbours that vote", TypeConverters.toInt)
-    keyCol = Param(Params._dummy(), "keyCol", "row key", TypeConverters.toString)
+    keyCols = Param(Params._dummy(), "keyCols", "row keys", TypeConverters.toListString)
 
     @keyword_only
-    def __init__(self, *, k=5, keyCol=None, labelCol="label", featuresCol="features"):
+    def __init__(self, *, k=5, keyCols=None, labelCol="label", featuresCol="features"):
         super().__init__()
         self._set(**{name: value for name, value in self._input_kwargs.items() if value is not None})
         self._setDefault(k=5, labelCol="label", featuresCol="features")
 
     def _fit(self, dataset):
-        if not self.isSet("keyCol"):
-            raise ValueError("nearest neighbours need the row key column")
-        key = self.getOrDefault("keyCol")
+        if not self.isSet("keyCols"):
+            raise ValueError("nearest neighbours need the row key columns")
+        keys, label = self.getOrDefault("keyCols"), self.getLabelCol()
         train = dataset.select(
-            key, self.getLabelCol(), vector_to_array(self.getFeaturesCol()).alias("_vector")
+            _row_key(keys), label, vector_to_array(self.getFeaturesCol()).alias("_vector")
         )
-        return NeighborsModel(train, key, self.getLabelCol(), self.getFeaturesCol(), self.getOrDefault("k"))
+        return NeighborsModel(
+            train, keys, label, self.getFeaturesCol(), self.getOrDefault("k"), _class_count(dataset, label))
+
+
+class DeepForestModel(Model):
+    """A forest whose subtrees lie in a table; classifiers add ``probability``."""
+
+    def __init__(self, forest=None, features=None):
+        super().__init__()
+        self.forest, self.features = forest, features
+
+    def _transform(self, dataset):
+        # The row numbers must survive a recomputation, so they are written with the rows.
+        rows = materialize(dataset.withColumn("_row", F.monotonically_increasing_id()), "forest-asked")
+        asked = rows.select("_row", vector_to_array(self.features).alias("_features"))
+        found = forest_scores(self.forest, asked, "_features", "_row")
+        rows = rows.join(found, "_row", "left")
+        if not self.forest.classes:
+            return rows.withColumn("prediction", F.get("scores", 0)).drop("_row", "scores")
+        best = F.array_position("scores", F.array_max("scores")) - 1
+        return rows.withColumns({
+            "probability": array_to_vector(F.col("scores")), "prediction": best.cast("double")}).drop("_row", "scores")
+
+
+class DeepForest(_Supervised):
+    """Random forest whose trees grow until their leaves are pure, or to ``depth`` if that is not 0."""
+
+    kind = Param(Params._dummy(), "kind", "classification or regression", TypeConverters.toString)
+    trees = Param(Params._dummy(), "trees", "number of trees", TypeConverters.toInt)
+    depth = Param(Params._dummy(), "depth", "tree depth, 0 for no limit", TypeConverters.toInt)
+    localRows = Param(Params._dummy(), "localRows", "rows of a node that one task takes", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, kind="classification", trees=100, depth=0, localRows=LOCAL_ROWS,
+                 labelCol="label", featuresCol="features"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+        self._setDefault(kind="classification", trees=100, depth=0, localRows=LOCAL_ROWS,
+                         labelCol="label", featuresCol="features")
+
+    def _fit(self, dataset):
+        classify = self.getOrDefault("kind") == "classification"
+        growth = ForestGrowth(
+            trees=self.getOrDefault("trees"), depth=self.getOrDefault("depth") or None,
+            subset="sqrt" if classify else "all", local_rows=self.getOrDefault("localRows"), seed=SEED)
+        rows = dataset.select(
+            vector_to_array(self.getFeaturesCol()).alias("_features"), F.col(self.getLabelCol()).alias("_label"))
+        classes = _class_count(dataset, self.getLabelCol()) if classify else 0
+        return DeepForestModel(fit_forest(rows, "_features", "_label", classes, growth), self.getFeaturesCol())
 
 
 def _forest(kind, subset: str) -> Callable[..., Estimator]:
-    def make(n_estimators=100, max_depth=FOREST_DEPTH, **_):
+    def make(n_estimators=100, max_depth=None, **_):
+        if max_depth is None:
+            task = "classification" if kind is RandomForestClassifier else "regression"
+            return DeepForest(kind=task, trees=int(n_estimators))
         return kind(
             numTrees=int(n_estimators),
             maxDepth=int(max_depth),
@@ -215,32 +416,43 @@ def _boosted_regressor(default_depth: int) -> Callable[..., Estimator]:
     return make
 
 
-# Name -> factory. The external boosters have no counterpart here and become boosted
-# trees with their default depth; leaf counts have no meaning for those.
+def _histogram(kind: str, **fixed) -> Callable[..., Estimator]:
+    def make(n_estimators=100, max_depth=6, learning_rate=0.1, num_leaves=0, **_):
+        given = {**fixed, **({"leaves": int(num_leaves)} if num_leaves else {})}
+        return HistogramBoosting(
+            kind=kind, rounds=int(n_estimators), depth=int(max_depth), rate=float(learning_rate), **given)
+
+    return make
+
+
+# The penalties and leaf bounds that users of the two external boosters expect.
+LEVEL_WISE = {"ridge": 1.0, "leastHessian": 1.0}
+LEAF_WISE = {"leaves": 31, "leastRows": 20, "leastHessian": 1e-3}
+
 MODELS: dict[str, Callable[..., Estimator]] = {
     "LogisticRegression": lambda C=1.0, max_iter=1000, **_: PenalisedLogistic(
         strength=float(C), maxIter=int(max_iter)
     ),
     "RandomForestClassifier": _forest(RandomForestClassifier, "sqrt"),
     "GradientBoostingClassifier": _boosted_classifier(3),
-    "SVC": lambda C=1.0, **_: LinearMargin(strength=float(C)),
+    "SVC": lambda C=1.0, **_: KernelMargin(strength=float(C)),
     "KNeighborsClassifier": lambda n_neighbors=5, key=None, **_: Neighbors(
-        k=int(n_neighbors), keyCol=key
+        k=int(n_neighbors), keyCols=[key] if isinstance(key, str) else key
     ),
-    "XGBClassifier": _boosted_classifier(6),
-    "LGBMClassifier": _boosted_classifier(6),
+    "XGBClassifier": _histogram("classification", **LEVEL_WISE),
+    "LGBMClassifier": _histogram("classification", **LEAF_WISE),
     "Ridge": lambda alpha=1.0, **_: Ridge(strength=float(alpha)),
     "RandomForestRegressor": _forest(RandomForestRegressor, "all"),
     "GradientBoostingRegressor": _boosted_regressor(3),
-    "XGBRegressor": _boosted_regressor(6),
-    "LGBMRegressor": _boosted_regressor(6),
+    "XGBRegressor": _histogram("regression", **LEVEL_WISE),
+    "LGBMRegressor": _histogram("regression", **LEAF_WISE),
 }
 # No distributed kernel regressor exists; a request for one gets the fallback model.
 MODELS["SVR"] = MODELS[FALLBACK_REGRESSOR]
 UNKNOWN_MODEL = "RandomForestClassifier"
 
 
-def make_model(name: str, parameters: dict | None = None, key: str | None = None) -> Estimator:
+def make_model(name: str, parameters: dict | None = None, key: str | list[str] | None = None) -> Estimator:
     """Estimator for a model name; parameters it does not take are ignored."""
     name = name if name in MODELS else UNKNOWN_MODEL
     allowed = MODEL_PARAMETERS[name]

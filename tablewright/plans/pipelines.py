@@ -46,7 +46,7 @@ def build_pipeline(
     spec: Mapping,
     exclude: list[str],
     categories: list[str] | None = None,
-    key: str | None = None,
+    key: str | list[str] | None = None,
     fixed_preprocessing: bool = False,
     coded: bool = False,
 ) -> Pipeline:
@@ -70,7 +70,7 @@ def build_pipeline(
 
 
 def build_fixed(spec: Mapping, exclude: list[str], categories: list[str] | None = None,
-                key: str | None = None) -> Pipeline:
+                key: str | list[str] | None = None) -> Pipeline:
     """Median, scaling and the specification's model."""
     return build_pipeline(spec, exclude, categories, key, fixed_preprocessing=True)
 
