@@ -108,6 +108,10 @@ def approximate_neighbors(
     ranked by their vectors. With all cells probed and ``refine`` large the result is exact. Equal
     distances go to the smaller key.
     """
+    if not index.counts.any():
+        types = queries.schema[key].dataType.simpleString(), index.table.schema[index.key].dataType.simpleString()
+        return queries.sparkSession.createDataFrame(
+            [], f"{key} {types[0]}, neighbor {types[1]}, distance double, place int")
     size, centres, step, counts = len(index.step), index.centres, index.step, index.counts
     want = refine * k
 
