@@ -52,7 +52,7 @@ def model_times(spark, folder: str) -> dict[str, float]:
     specs = {
         "fit_logistic": ("LogisticRegression", {"C": 1.0, "max_iter": 1000}, train),
         "fit_forest_100_trees_depth_6": ("RandomForestClassifier", {"n_estimators": 100, "max_depth": 6}, train),
-        "fit_boosting_20_rounds": ("GradientBoostingClassifier", {"n_estimators": 20}, train),
+        "fit_boosting_100_rounds": ("GradientBoostingClassifier", {"n_estimators": 100}, train),
     }
     times = {}
     for name, (model, parameters, fit_rows) in specs.items():

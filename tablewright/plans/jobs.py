@@ -6,16 +6,17 @@ import logging
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import partial
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions import rules
 from tablewright.functions.kinds import CATEGORICAL, columns_of_kind, moments_as_numbers
 from tablewright.operators.metrics import metrics_row, score_array
 from tablewright.operators.prep import CategoryEncoder, encode_target
@@ -29,8 +30,9 @@ from tablewright.operators.splits import (
     stratified_kfold,
     stratified_split,
 )
+from tablewright.plans.decisions import decide, specs_of, unfinished
 from tablewright.plans.pipelines import build_pipeline, stage_count
-from tablewright.schemas import PROFILE, RESULT, SCALING, conform
+from tablewright.schemas import FAILURE, PROFILE, RESULT, SCALING, conform
 from tablewright.session import fresh_path, materialize, spread
 from tablewright.sources.writers import append_results, read_results, store_profiles, unstored
 
@@ -47,6 +49,7 @@ ABLATIONS = {"agent_no_profile": "task_default", "agent_model_only": "rules_mode
 SINGLE_SPLIT, CROSS_VALIDATION = "single_split", "cv5"
 SAMPLE_ROWS = 50_000
 BOOSTING = ("GradientBoostingClassifier",)
+ERROR_CHARS = 2_000  # kept of the cause of a failed run
 
 
 @dataclass(frozen=True)
@@ -136,7 +139,7 @@ def run_one(
     fixed_preprocessing: bool = False,
     coded: bool = False,
 ) -> dict:
-    """Fit, time and score one pipeline. A failure leaves a row of nulls, and a log line.
+    """Fit, time and score one pipeline. A failure leaves a row of nulls and its cause, ``error``.
 
     ``coded`` says that the rows went through ``code_categories`` already.
     """
@@ -169,8 +172,9 @@ def run_one(
             .asDict()
         )
         row["n_pipeline_stages"] = stage_count(spec, fixed_preprocessing)
-    except Exception:
+    except Exception as failure:
         logger.exception("run failed: %s %s fold %s", task.name, method, fold)
+        row["error"] = f"{type(failure).__name__}: {failure}"[:ERROR_CHARS]
     row["timestamp"] = datetime.now(timezone.utc)
     return row
 
@@ -201,53 +205,90 @@ def _kept(*frames: DataFrame):
             frame.unpersist()
 
 
-def chosen_spec(profile_row: DataFrame, rule: str) -> dict:
-    """The specification a rule set picks for a one-row profile table."""
-    spec = rules.choose(profile_row, rule).select("spec.*").first()
-    return spec.asDict()
-
-
 def _record(spark: SparkSession, rows: list[dict], path: str) -> None:
+    """Append results, and the causes of failed runs beside them."""
     plain = [tuple(row.get(name) for name in RESULT.names) for row in rows]
     append_results(spark.createDataFrame(plain, RESULT), path)
+    failed = [tuple(row.get(name) for name in FAILURE.names) for row in rows if row.get("error")]
+    if failed:
+        spark.createDataFrame(failed, FAILURE).write.mode("append").json(failures_path(path))
+
+
+def failures_path(results_path: str) -> str:
+    return f"{results_path.rstrip('/')}-failures"
+
+
+def read_failures(spark: SparkSession, results_path: str) -> DataFrame:
+    """Why runs failed: ``run_id, dataset, method, fold, error, timestamp``; empty if none did."""
+    try:
+        return spark.read.schema(FAILURE).json(failures_path(results_path))
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], FAILURE)
+
+
+def _stored_results(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return read_results(spark, path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], RESULT)
+
+
+def _side_by_side(spark: SparkSession, runs: list[Callable[[], dict]], threads: int) -> list[dict]:
+    """Results of the runs, in their order, at most ``threads`` at a time.
+
+    Each thread submits its jobs to a pool of its own; with ``spark.scheduler.mode`` FAIR the pools share
+    the cluster, else they follow each other where one leaves cores idle.
+    """
+    if threads <= 1 or len(runs) <= 1:
+        return [run() for run in runs]
 
+    def pooled(number: int, run: Callable[[], dict]) -> dict:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"grid-{number % threads}")
+        return run()
 
-def _specs_of(
-    profiles: DataFrame, task: TableTask, methods: dict[str, str], overrides: dict[str, dict] | None
-) -> dict[str, dict]:
-    """Specification per method for one table, with any overrides applied."""
-    own_profile = profiles.filter(F.col("dataset_name") == task.name)
-    specs = {}
-    for method, rule in methods.items():
-        spec = chosen_spec(own_profile, rule)
-        changed = (overrides or {}).get(spec["model"], {})
-        specs[method] = {**spec, "hyperparameters": {**spec["hyperparameters"], **changed}}
-    return specs
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(pooled), range(len(runs)), runs))
 
 
 def _run_grid(
     spark: SparkSession,
     tasks: list[TableTask],
-    profiles: DataFrame,
-    methods: dict[str, str],
+    decisions: DataFrame,
     path: str,
     overrides: dict[str, dict] | None = None,
     fixed_methods: tuple[str, ...] = (),
+    threads: int = 1,
+    resume: bool = False,
 ) -> None:
     for task in tasks:
+        specs = specs_of(decisions, task.name, overrides)
+        planned = [(method, fold) for _, method, _ in specs
+                   for fold in (range(1, FOLDS + 1) if task.strategy == CROSS_VALIDATION else [None])]
+        todo = unfinished(spark, _stored_results(spark, path), task.name, planned) if resume else set(planned)
+        if not todo:
+            continue
         rows, categories, n_labels = prepare(task)
         marked, folds = with_folds(rows, task)
         if len(folds) > 1:
             marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
-        specs = _specs_of(profiles, task, methods, overrides)
         for fold in folds:
+            left = [spec for spec in specs if (spec[1], fold) in todo]
+            if not left:
+                continue
             held = F.col("fold") == (0 if fold is None else fold)
             with _kept(*code_categories(marked.filter(~held), marked.filter(held), categories)) as (train, test):
-                done = [
-                    run_one(task, method, spec, train, test, categories, n_labels, fold,
+                runs = [
+                    partial(run_one, task, method, spec, train, test, categories, n_labels, fold,
                             method in fixed_methods, coded=True)
-                    for method, spec in specs.items()
+                    for _, method, spec in left
                 ]
+                done = _side_by_side(spark, runs, threads)
+            for row, (run_id, _, _) in zip(done, left):
+                row["run_id"] = run_id if fold is None else f"{run_id}:{fold}"
             # Appended fold by fold, so an interrupted job keeps what it has done.
             _record(spark, done, path)
         if len(folds) > 1:
@@ -261,13 +302,25 @@ def run_experiments(
     profiles_path: str,
     methods: dict[str, str] | None = None,
     overrides: dict[str, dict] | None = None,
+    replies: DataFrame | None = None,
+    specs: DataFrame | None = None,
+    log_path: str | None = None,
+    threads: int = 1,
+    resume: bool = False,
 ) -> DataFrame:
-    """Every table by every method and fold; one appended row per run.
+    """Every table by every decision and fold; one appended row per run.
 
-    ``overrides`` maps a model name to hyperparameters that replace the chosen ones.
+    Decisions come from rule sets (``methods``; all of them if nothing else is given), from reply texts
+    (``dataset, condition, raw_response``) and from specifications (``dataset, method, spec``); ``log_path``
+    keeps them, and a result carries the identifier of its decision. ``overrides`` maps a model name to
+    hyperparameters that replace the chosen ones. ``threads`` runs of a fold go side by side. With ``resume``
+    only what has no result yet is fitted.
     """
     profiles = profiles_for(spark, tasks, profiles_path)
-    _run_grid(spark, tasks, profiles, methods or METHODS, results_path, overrides)
+    if methods is None and replies is None and specs is None:
+        methods = METHODS
+    decisions = decide(profiles, methods, replies, specs, log_path)
+    _run_grid(spark, tasks, decisions, results_path, overrides, threads=threads, resume=resume)
     return read_results(spark, results_path)
 
 
@@ -278,14 +331,16 @@ def run_ablation(
     profiles_path: str,
     overrides: dict[str, dict] | None = None,
     fixed_preprocessing: bool = False,
+    log_path: str | None = None,
 ) -> DataFrame:
     """The two reduced conditions, on stored profiles only.
 
     ``fixed_preprocessing`` holds the preparation of the model-only condition fixed.
     """
     profiles = profiles_for(spark, tasks, profiles_path, require=True)
+    decisions = decide(profiles, ABLATIONS, log_path=log_path)
     _run_grid(
-        spark, tasks, profiles, ABLATIONS, results_path, overrides,
+        spark, tasks, decisions, results_path, overrides,
         ("agent_model_only",) if fixed_preprocessing else (),
     )
     return read_results(spark, results_path)
@@ -300,6 +355,7 @@ def run_large_table(
     sample_rows: int | None = None,
     sampled_models: tuple[str, ...] = BOOSTING,
     overrides: dict[str, dict] | None = None,
+    log_path: str | None = None,
 ) -> DataFrame:
     """One large table: profile, then each method once, on all training rows.
 
@@ -307,16 +363,16 @@ def run_large_table(
     experiments) may bound the rows that the classifiers of ``sampled_models`` are fitted on.
     """
     profiles = profiles_for(spark, [task], profiles_path)
+    specs = specs_of(decide(profiles, methods or METHODS, log_path=log_path), task.name, overrides)
     rows, categories, n_labels = prepare(task)
     marked, _ = with_folds(rows, task)
-    specs = _specs_of(profiles, task, methods or METHODS, overrides)
     coded = code_categories(marked.filter("fold <> 0"), marked.filter("fold = 0"), categories)
     with _kept(*coded) as (train, test):
-        for method, spec in specs.items():
+        for run_id, method, spec in specs:
             sampled = sample_rows is not None and spec["model"] in sampled_models
             fit_rows = sample_n(train, list(task.keys), sample_rows, SEED) if sampled else train
             done = run_one(task, method, spec, fit_rows, test, categories, n_labels, coded=True)
-            _record(spark, [done], results_path)
+            _record(spark, [{**done, "run_id": run_id}], results_path)
     return read_results(spark, results_path)
 
 

@@ -42,6 +42,14 @@ RESULT = T.StructType(
     ]
 )
 
+FAILURE = T.StructType(
+    [
+        *RESULT.fields[:4],
+        T.StructField("error", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+    ]
+)
+
 SCALING = T.StructType(
     [
         T.StructField("dataset", T.StringType()),

@@ -129,6 +129,46 @@ def test_a_failed_run_leaves_a_row(spark):
     constant = rows.withColumn("a", F.lit(1.0)).drop("c")
     row = jobs.run_one(broken, "m", spec, constant, constant, [], n)
     assert row["method"] == "m" and "f1_macro" not in row and row["timestamp"] is not None
+    assert row["error"]
+
+
+def test_specs_and_replies_are_decisions_with_a_log(spark):
+    results, profiles, log = (fresh_path(spark, n) for n in ("results", "profiles", "log"))
+    made = task(spark)
+    replies = spark.createDataFrame([
+        ("classification", "agent_full", 'So: {"preprocessing": ["imputer"], "model": "LogisticRegression", "hyperparameters": {"C": 7}}'),
+        ("classification", "agent_model_only", "I cannot say"), ("unknown table", "agent_full", "{}")],
+        "dataset string, condition string, raw_response string")
+    specs = spark.createDataFrame(
+        [("classification", "mine", (["imputer", "nonsense"], "KNeighborsClassifier", {"n_neighbors": 99.0}, "")),
+         ("classification", "broken", (["variance_threshold", "pca"], "LogisticRegression", {}, "x"))],
+        "dataset string, method string, spec struct<preprocessing: array<string>, model: string, "
+        "hyperparameters: map<string,double>, reasoning: string>")
+    run = lambda **more: jobs.run_experiments(
+        spark, [made], results, profiles, {"B1_manual": "manual"}, LIGHT, replies, specs, log, **more)
+    done = {r["method"]: r for r in run(threads=3).collect()}
+    assert set(done) == {"B1_manual", "agent_full", "agent_model_only", "mine", "broken"}
+    assert all(done[m]["f1_macro"] > 0.6 for m in done if done[m]["n_pipeline_stages"])
+    logged = {r["condition"]: r for r in readers.read_log(spark, log).collect()}
+    assert {m: r["run_id"] for m, r in logged.items()} == {m: r["run_id"] for m, r in done.items()}
+    assert logged["agent_full"]["spec_hyperparameters"] == {"C": 7.0} and "classification" in logged["agent_full"]["prompt"]
+    assert logged["agent_model_only"]["spec_model"] == "GradientBoostingClassifier" and logged["B1_manual"]["prompt"] is None
+    assert logged["mine"]["spec_preprocessing"] == ["imputer"] and logged["mine"]["spec_hyperparameters"]["n_neighbors"] == 15
+    failed = {r["method"] for r in jobs.read_failures(spark, results).collect()}
+    assert failed == {m for m in done if not done[m]["n_pipeline_stages"]}
+    again = run(resume=True)
+    assert again.count() == len(done) + len(failed)  # only failed runs are tried again
+
+
+def test_runs_side_by_side_give_the_same_rows(spark):
+    folded = task(spark, strategy=jobs.CROSS_VALIDATION)
+    shown = []
+    for threads in (1, 4):
+        done = jobs.run_experiments(
+            spark, [folded], fresh_path(spark, "results"), fresh_path(spark, "profiles"),
+            {"B1_manual": "manual", "light": "rules_runner"}, threads=threads)
+        shown.append(sorted((r["method"], r["fold"], round(r["f1_macro"], 6)) for r in done.collect()))
+    assert shown[0] == shown[1] and len(shown[0]) == 10
 
 
 def test_scaling_rows(spark):
