@@ -60,6 +60,7 @@ class _Page:
         self.by_class = by_class
         self.article = [False]
         self._open, self._parts = [0], []
+        self._held: dict[str, int] = {}  # open elements per tag: a stray end tag costs nothing
         self._link = self._paragraph = None  # how deep an open link or paragraph lies
         self._read(html)
 
@@ -74,6 +75,8 @@ class _Page:
 
     def _close(self, depth: int) -> None:
         self._flush()
+        for node in self._open[depth:]:
+            self._held[self.tag[node]] -= 1
         del self._open[depth:]
         if self._link is not None and self._link >= len(self._open):
             self._link = None
@@ -83,7 +86,7 @@ class _Page:
     def _start(self, tag: str, attributes: str) -> None:
         if self._paragraph is not None:
             self._close(self._paragraph)
-        if tag in CLOSES:
+        if tag in CLOSES and any(self._held.get(name) for name in CLOSES[tag][0]):
             same, stop = CLOSES[tag]
             for depth in range(len(self._open) - 1, 0, -1):
                 if self.tag[self._open[depth]] in stop:
@@ -103,6 +106,7 @@ class _Page:
         if tag == "p":
             self._paragraph = len(self._open)
         self._open.append(len(self.tag) - 1)
+        self._held[tag] = self._held.get(tag, 0) + 1
 
     def _judge(self, tag: str, attributes: str, above: int) -> tuple[bool, int, bool]:
         """Whether an element is no part of an article, its start score, and whether it is
@@ -124,7 +128,8 @@ class _Page:
             if name in ("class", "id"):
                 for word in value.split():
                     if not word.startswith(("has-", "with-", "no-")):
-                        words.update(re.findall(r"[a-z]+", word))
+                        # A paragraph of an article may be named "share-price": there whole names decide.
+                        words.update([word] if inside and tag in LEAVES else re.findall(r"[a-z]+", word))
         if self.by_class and words & OTHER_WORDS and tag not in ("html", "body", "main"):
             if "header" in words and inside and not words & (OTHER_WORDS - {"header"}):
                 return False, 0, True
@@ -161,7 +166,7 @@ class _Page:
     def _end(self, tag: str) -> None:
         if tag == "a":
             self._link = None
-        elif tag not in INLINE:
+        elif tag not in INLINE and self._held.get(tag):
             for depth in range(len(self._open) - 1, 0, -1):
                 if self.tag[self._open[depth]] == tag:
                     self._close(depth)
@@ -202,6 +207,19 @@ def _best(page: _Page, blocks: list[tuple[int, str, int]], chars: list[int], lin
     return (marked[0] if marked else 0), score
 
 
+def _whole(page: _Page, best: int, chars: list[int], links: list[int]) -> int:
+    """The article that the best container is a part of: the nearest ``article`` around it, else a
+    ``main`` with few links; the container itself if there is none."""
+    around, node = best, best
+    while node >= 0:
+        if page.tag[node] == "article":
+            return node
+        if page.tag[node] == "main" and links[node] < 0.3 * chars[node]:
+            around = node
+        node = page.parent[node]
+    return around
+
+
 def _select(page: _Page) -> list[str]:
     blocks = page.kept_blocks()
     size = len(page.tag)
@@ -213,13 +231,16 @@ def _select(page: _Page) -> list[str]:
         chars[page.parent[node]] += chars[node]
         links[page.parent[node]] += links[node]
     best, score = _best(page, blocks, chars, links)
-    keep = [False] * size
+    best = _whole(page, best, chars, links)
+    keep, inside = [False] * size, [False] * size
     for node in range(size):
         above = page.parent[node]
+        inside[node] = page.tag[node] == "article" or above >= 0 and inside[above]
         if node == best:
             keep[node] = True
         elif above >= 0 and keep[above]:
-            dense = page.tag[node] in LINK_LISTS and links[node] > 0.6 * chars[node] > 0
+            # Lists of links are menus, but for those that an article itself holds.
+            dense = not inside[node] and page.tag[node] in LINK_LISTS and links[node] > 0.6 * chars[node] > 0
             keep[node] = not dense
         elif above == page.parent[best] and above >= 0:
             plain = links[node] < 0.25 * max(1, chars[node])
@@ -232,6 +253,7 @@ def _select(page: _Page) -> list[str]:
 def main_text(html: str | None) -> str:
     """Blocks of the main container and its like siblings, in page order, one to a line.
 
+    If the best container is a part of an ``article`` or ``main``, all of that is the main container.
     Elements whose names or classes tell menus, notices and the like are left out first.
     If that leaves nothing, classes are not believed.
     """

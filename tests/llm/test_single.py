@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -48,6 +49,30 @@ def test_odd_pages(html, text):
     assert main_text(html) == text
 
 
+PARAGRAPHS = "".join(f"<p>Paragraph {i}, with some words, and more of them, to count as text.</p>" for i in range(30))
+
+
+@pytest.mark.parametrize("start, end", [("<article>", "</article>"), ("<main>", "</main>"), ("<article><div>", "</div></article>")])
+def test_all_sections_of_an_article_stay(start, end):
+    for part in ("section", "div"):
+        page = f"{start}<{part}>{PARAGRAPHS}</{part}><{part}><h2>Second</h2><p>Short.</p><ul><li>one</ul></{part}>{end}"
+        found = main_text(f"<nav><a href=/>Home</a></nav>{page}<footer>end</footer>").split("\n")
+        assert len(found) == 33 and found[-3:] == ["Second", "Short.", "one"]
+
+
+def test_names_of_paragraphs_decide_as_a_whole_and_articles_keep_their_links():
+    page = (f'<article>{PARAGRAPHS}<p class="share-price">At noon, it was 5.</p><ul><li><a href=x>A source of the article</a></ul>'
+            '<p class="ad">Buy</p><div class="related-posts"><p>Other things, to read, and more.</p></div></article>')
+    assert main_text(page).split("\n")[30:] == ["At noon, it was 5.", "A source of the article"]
+
+
+def test_stray_tags_cost_nothing():
+    for page in ("<div>" * 20_000 + "</p>" * 20_000 + "end", "<div>" * 20_000 + "<li>x" * 20_000 + "end"):
+        started = time.perf_counter()
+        assert main_text(page).endswith("end")
+        assert time.perf_counter() - started < 3
+
+
 def test_pages_query_keeps_every_page(spark, folder):
     found = registered.op1_html_extraction(spark, folder)
     assert found.columns == ["page_id", "url", "text", "n_chars"]
