@@ -144,6 +144,43 @@ def test_secrets_of_odd_rows(odd_docs):
     assert find_secrets(odd_docs.limit(0), model).count() == 0
 
 
+ORDINARY = ["A" * 24, "-" * 32, "=" * 20, "this-is-a-long-url-slug-about-cooking", "MAX_BUFFER_SIZE_IN_KILOBYTES",
+            "2024-01-01T00-00-00_backup_file", "internationalization", "user_account_settings_page",
+            "/usr/local/share/applications/readme", "THE-QUICK-BROWN-FOX-JUMPS", "0" * 22, "getElementsByTagNameAndClass"]
+
+
+@pytest.fixture(scope="module")
+def markov(spark, folder):
+    larger = spark.read.parquet(f"{folder}/documents.parquet".replace("sf0.001", "sf0.01"))
+    return train_markov(labelled_samples(larger, "doc_id", "text", 20_000, 3))
+
+
+def test_precision_and_recall_of_the_models(spark, markov):
+    """Held-out random strings of several alphabets are found, ordinary identifiers are not."""
+    model = markov
+    rng = np.random.default_rng(7)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"))
+    strings = ["".join(rng.choice(alphabet[a:b], n)) for a, b, n in ((0, 62, 24), (0, 64, 40), (26, 62, 24), (0, 52, 24)) for _ in range(50)]
+    rows = spark.createDataFrame(
+        [(i, f"see {t} here", i < len(strings)) for i, t in enumerate(strings + ORDINARY)], "doc_id long, text string, random boolean")
+    found = {r["doc_id"] for r in find_secrets(rows, model).filter("size(secret_spans) > 0").collect()}
+    assert len(found & set(range(len(strings)))) >= 0.95 * len(strings)
+    assert not found - set(range(len(strings)))
+
+
+def test_very_many_matches_take_linear_time(spark, markov):
+    model = markov
+    seconds = []
+    for count in (200, 10_000, 20_000):
+        text = " ".join(f"{i:032x} tok{i:017d}x" for i in range(count))
+        started = time.perf_counter()
+        spans = find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()["secret_spans"]
+        seconds.append(time.perf_counter() - started)
+        known = [(s["start"], s["end"]) for s in spans if s["kind"] == 2]
+        assert known == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert seconds[2] < 3 * seconds[1] + 2
+
+
 # --- language
 
 
