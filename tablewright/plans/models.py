@@ -139,11 +139,11 @@ class KernelMargin(_Supervised):
     folds = Param(Params._dummy(), "folds", "folds for calibration", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, strength=1.0, maxIter=100, kernel="rbf", gamma=0.0, width=FOURIER, folds=3,
+    def __init__(self, *, strength=1.0, maxIter=50, kernel="rbf", gamma=0.0, width=FOURIER, folds=2,
                  labelCol="label", featuresCol="features"):
         super().__init__()
         self._set(**self._input_kwargs)
-        self._setDefault(strength=1.0, maxIter=100, kernel="rbf", gamma=0.0, width=FOURIER, folds=3,
+        self._setDefault(strength=1.0, maxIter=50, kernel="rbf", gamma=0.0, width=FOURIER, folds=2,
                          labelCol="label", featuresCol="features")
 
     def _fit(self, dataset):
