@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.frames import table
 from checks.profiles import GAPPY_EVENTS_SQL, GAPPY_ORDERS_SQL, gappy_events, gappy_orders
-from tablewright.operators import prep
+from tablewright.operators import prep, range_finder
 from tablewright.operators.splits import stratified_split
 from tablewright.plans.pipelines import build_fixed, build_pipeline
 
@@ -134,6 +134,33 @@ def pca(spark, folder):
     return shown.agg(F.array(*records).alias("r")).select(F.inline("r"))
 
 
+def pca_wide(spark, folder):
+    """The ten leading components by the range finder beside the spread that the rows show."""
+    df = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = range_finder.principal_components(df, "embedding", 10, passes=20)
+    shown = range_finder.project(df, "embedding", found)
+    records = [
+        F.struct(
+            F.lit(i + 1).alias("component"),
+            F.lit(float(found.shares[i])).alias("share"),
+            F.lit(float(found.variances[i])).alias("variance"),
+            F.avg(f"pc_{i + 1}").alias("mean"),
+            F.var_samp(f"pc_{i + 1}").alias("shown"),
+        )
+        for i in range(10)
+    ]
+    return shown.agg(F.array(*records).alias("r")).select(F.inline("r"))
+
+
+def pca_wide_total(spark, folder):
+    """Rows, total variance and the mean's length, which SQL can tell too."""
+    df = table(spark, folder, "embeddings").select("embedding")
+    found = range_finder.principal_components(df, "embedding", 5, passes=1)
+    return df.agg(
+        F.count("embedding").alias("n_rows"), F.round(F.lit(found.total), 6).alias("total"),
+        F.round(F.lit(float((found.mean**2).sum())), 6).alias("mean_length"))
+
+
 def _order_rows(spark, folder):
     labelled, _ = prep.encode_target(gappy_orders(spark, folder).dropna(subset=["o_orderstatus"]),
                                      "o_orderstatus", "classification")
@@ -183,6 +210,8 @@ QUERIES = {
     "column_variances": column_variances,
     "covariance_matrix": covariance_matrix,
     "pca": pca,
+    "pca_wide": pca_wide,
+    "pca_wide_total": pca_wide_total,
     "build_pipeline": build_pipeline_query,
     "build_fixed": build_fixed_query,
 }
@@ -224,6 +253,9 @@ SQL = {
     "variance_threshold": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem",
     "column_variances": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", round(var_pop({c}), 4) AS variance FROM lineitem" for c in LINE_NUMBERS),
+    "pca_wide_total": """SELECT max(n) AS n_rows, round(sum(v), 6) AS total, round(sum(m * m), 6) AS mean_length FROM (
+ SELECT count(*) AS n, var_samp(x::double) AS v, avg(x::double) AS m FROM (
+ SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings) e GROUP BY place) p""",
     "covariance_matrix": " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 4) AS covariance FROM lineitem"
         for i, a in enumerate(LINE_NUMBERS) for b in LINE_NUMBERS[i:]),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from checks.frames import table
 from checks.sources import CUSTOMER_PROFILE, ORDERS_PROFILE, PART_PROFILE, PROFILE_FIELDS, _tasks
 from tablewright.operators import profile as P
+from tablewright.operators import summaries
+from tablewright.session import fresh_path
 from tablewright.sources.synthetic import inject_missing
 
 # Orders and events with gaps: the given tables have none.
@@ -131,7 +133,34 @@ def profile_by_group(spark, folder):
     return _rounded(P.profile_by_group(gappy_events(spark, folder), ["user_id"], "event_type", "classification"))
 
 
+def _stored_years(spark, folder, df, moment, target, name, skip=()):
+    """Summaries by year: the years before 1996 first, the others later, one year twice."""
+    path = fresh_path(spark, "summaries")
+    year = F.year(moment)
+    for part in (year < 1996, year >= 1996, year == 1995):
+        summaries.store_summaries(df.filter(part), path, target, "classification", name, year, skip=skip)
+    return summaries.read_summaries(spark, path)
+
+
+def profile_parts(spark, folder):
+    """The profile of a table that arrived year by year, from its stored summaries alone."""
+    stored = _stored_years(spark, folder, gappy_orders(spark, folder), "o_orderdate", TARGET, "orders")
+    return _rounded(summaries.merge_profiles(*stored))
+
+
+def profile_parts_columns(spark, folder):
+    """Merged moments, extremes and gaps of every line item column."""
+    columns, _ = _stored_years(spark, folder, table(spark, folder, "lineitem"), "l_shipdate", "l_returnflag",
+                               "lineitem", skip=("l_shipdate", "l_orderkey"))
+    merged = summaries.merge_columns(columns)
+    return merged.select(
+        "column", "n_rows", "n_present", "n", F.round("mean", 4).alias("mean"),
+        F.round(F.sqrt("variance"), 4).alias("stddev"), "min", "max")
+
+
 QUERIES = {
+    "profile_parts": profile_parts,
+    "profile_parts_columns": profile_parts_columns,
     "drop_null_target": drop_null_target,
     "split_features_target": split_features_target,
     "columns_by_type": columns_by_type,
@@ -164,7 +193,17 @@ def _describe(name: str) -> str:
  round(stddev_samp({name}), 4) AS stddev, min({name}) AS "min", max({name}) AS "max" FROM lineitem"""
 
 
+_LINE_NUMBERS = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LINE_TEXTS = ["l_linestatus", "l_returnflag"]
+
 SQL = {
+    "profile_parts": ORDERS_PROFILE.replace("FROM orders", f"FROM {GAPPY_ORDERS_SQL} o"),
+    "profile_parts_columns": " UNION ALL ".join(
+        [f"""SELECT '{c}' AS "column", count(*) AS n_rows, count({c}) AS n_present, count({c}) AS n,
+ round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, min({c})::double AS "min", max({c})::double AS "max"
+ FROM lineitem""" for c in _LINE_NUMBERS]
+        + [f"""SELECT '{c}', count(*), count({c}), 0::bigint, null::double, null::double, null::double, null::double
+ FROM lineitem""" for c in _LINE_TEXTS]),
     "drop_null_target": f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM {_KEPT}",
     "split_features_target": "SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part",
     "columns_by_type": " UNION ALL ".join(

@@ -10,7 +10,7 @@ from tablewright.functions.specs import number_map, text_array
 from tablewright.plans.jobs import TableTask, profiles_for
 from tablewright.schemas import LOG, PROFILE, RESULT
 from tablewright.session import fresh_path
-from tablewright.sources import readers, synthetic, writers
+from tablewright.sources import readers, synthetic, versions, writers
 
 
 def read_table(spark, folder):
@@ -65,18 +65,42 @@ def append_results(spark, folder):
     return back.select("run_id", "dataset", "method", "fold", "f1_macro", "rmse", "accuracy")
 
 
+def _agent_rows(spark, folder):
+    return table(spark, folder, "supplier").filter("s_acctbal > 0").selectExpr(
+        "concat('new-', s_suppkey) AS run_id", "concat('ds_', s_suppkey) AS dataset",
+        "'agent_full' AS method", "cast(null as int) AS fold", "s_acctbal / 10000 AS f1_macro",
+    )
+
+
 def replace_rows(spark, folder):
     """New agent rows, one per supplier in credit, take the place of the old ones."""
     path = fresh_path(spark, "replaced")
     old = results(spark, folder).select("run_id", "dataset", "method", "fold", "f1_macro")
-    new = table(spark, folder, "supplier").filter("s_acctbal > 0").selectExpr(
-        "concat('new-', s_suppkey) AS run_id", "concat('ds_', s_suppkey) AS dataset",
-        "'agent_full' AS method", "cast(null as int) AS fold", "s_acctbal / 10000 AS f1_macro",
-    )
-    writers.replace_rows(old, new, ["dataset", "method"], path)
+    writers.replace_rows(old, _agent_rows(spark, folder), ["dataset", "method"], path)
     return spark.read.parquet(path)
 
 
+def replace_in_place(spark, folder):
+    """The same swap in a versioned table, then one interrupted run that must not show."""
+    path = fresh_path(spark, "versioned")
+    keys = ["dataset", "method"]
+    old = results(spark, folder).select("run_id", "dataset", "method", "fold", "f1_macro")
+    versions.create_versioned(old, path, keys)
+    versions.replace_in_place(spark, path, _agent_rows(spark, folder), keys)
+    old.write.parquet(f"{path}/rows/generation=2/bucket=0")  # written, but never committed
+    return versions.read_versioned(spark, path)
+
+
+def replace_in_place_before(spark, folder):
+    """The generation before a swap stays readable."""
+    path = fresh_path(spark, "versioned")
+    keys = ["dataset", "method"]
+    old = results(spark, folder).select("run_id", "dataset", "method", "fold", "f1_macro")
+    versions.create_versioned(old, path, keys)
+    versions.replace_in_place(spark, path, _agent_rows(spark, folder), keys)
+    return versions.read_versioned(spark, path, 0)
+
+
 def anti_replace(spark, folder):
     old = results(spark, folder).select("run_id", "dataset", "method")
     gone = table(spark, folder, "supplier").filter("s_acctbal > 0").selectExpr(
@@ -197,6 +221,8 @@ QUERIES = {
     "profile_store": profile_store,
     "append_results": append_results,
     "replace_rows": replace_rows,
+    "replace_in_place": replace_in_place,
+    "replace_in_place_before": replace_in_place_before,
     "anti_replace": anti_replace,
     "read_log": read_log,
     "write_log": write_log,
@@ -237,6 +263,10 @@ CUSTOMER_PROFILE = profile_sql(
 _CREDIT = "SELECT concat('ds_', s_suppkey) FROM supplier WHERE s_acctbal > 0"
 _KEPT = f"SELECT * FROM ({RESULTS_SQL}) r WHERE NOT (method = 'agent_full' AND dataset IN ({_CREDIT}))"
 
+_REPLACED = f"""SELECT run_id, dataset, method, fold, f1_macro FROM ({_KEPT}) k UNION ALL
+ SELECT concat('new-', s_suppkey), concat('ds_', s_suppkey), 'agent_full', null, s_acctbal / 10000
+ FROM supplier WHERE s_acctbal > 0"""
+
 SQL = {
     "read_table": "SELECT * FROM customer",
     "read_headerless": """SELECT cast(event_id as double) AS f1, cast(user_id as double) AS f2,
@@ -246,9 +276,9 @@ SQL = {
     "profile_store": f"{ORDERS_PROFILE} UNION ALL {PART_PROFILE} UNION ALL {CUSTOMER_PROFILE}",
     "append_results": f"""SELECT run_id, dataset, method, fold, f1_macro, rmse,
  null::double AS accuracy FROM ({RESULTS_SQL}) r""",
-    "replace_rows": f"""SELECT run_id, dataset, method, fold, f1_macro FROM ({_KEPT}) k UNION ALL
- SELECT concat('new-', s_suppkey), concat('ds_', s_suppkey), 'agent_full', null, s_acctbal / 10000
- FROM supplier WHERE s_acctbal > 0""",
+    "replace_rows": _REPLACED,
+    "replace_in_place": _REPLACED,
+    "replace_in_place_before": f"SELECT run_id, dataset, method, fold, f1_macro FROM ({RESULTS_SQL}) r",
     "anti_replace": f"SELECT run_id, dataset, method FROM ({_KEPT}) k",
     "read_log": """SELECT cast(event_id as varchar) AS run_id, event_type AS dataset,
  'full_profile' AS condition, user_id AS profile_n_rows, value AS profile_missing_ratio,

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from tablewright.functions.kinds import (
     CATEGORICAL, chunked, columns_of_kind, moments_as_numbers, present_value, quoted)
 from tablewright.operators.quantiles import exact_quantiles
+from tablewright.operators.range_finder import principal_components, project
 from tablewright.operators.ranking import running_totals
 from tablewright.session import materialize
 
@@ -435,26 +436,54 @@ def _as_vector(df: DataFrame, inputs: list[str], output: str) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol=output).transform(df.withColumns(doubles))
 
 
+class WidePcaModel(Model):
+    """Projects onto components that the range finder found."""
+
+    def __init__(self, inputs=(), components=None, k=0):
+        super().__init__()
+        self.inputs, self.components, self.k = list(inputs), components, k
+        self.explained = [float(v) for v in components.shares[:k]] if components else []
+
+    def _transform(self, dataset):
+        assembled = _as_vector(dataset, self.inputs, "_pca_vector")
+        arrays = assembled.withColumn("_pca_in", vector_to_array("_pca_vector")).drop("_pca_vector", *self.inputs)
+        return project(arrays, "_pca_in", self.components.first(self.k)).drop("_pca_in")
+
+
 class PcaStep(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
     """Smallest number of components whose explained share exceeds ``share``.
 
     The covariance does not depend on the origin, so the rows are projected as they are
     and the projected mean is taken off afterwards. The fit keeps every component and
-    cuts on the cumulative explained share.
+    cuts on the cumulative explained share. Tables of more than ``exactWidth`` columns have a
+    covariance too large for one machine: theirs come from a randomised range finder that looks
+    for twice as many components until the share is exceeded.
     """
 
     share = Param(Params._dummy(), "share", "explained share to exceed", TypeConverters.toFloat)
+    exactWidth = Param(Params._dummy(), "exactWidth", "widest exact covariance", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, excludeCols=None, share=0.95):
+    def __init__(self, *, inputCols=None, excludeCols=None, share=0.95, exactWidth=1000):
         super().__init__()
         self._init_columns(inputCols, excludeCols)
-        self._set(share=share)
+        self._set(share=share, exactWidth=exactWidth)
+
+    def _fit_wide(self, vectors, inputs, width):
+        arrays = vectors.select(vector_to_array("_pca_in").alias("v"))
+        share, k = self.getOrDefault("share"), 32
+        found = principal_components(arrays, "v", k)
+        while k < width and found.shares.sum() <= share:
+            k = min(width, 2 * k)
+            found = principal_components(arrays, "v", k)
+        return WidePcaModel(inputs, found, found.count_for(share))
 
     def _fit(self, dataset):
         inputs = _feature_inputs(self, dataset)
         vectors = _as_vector(dataset.select(*[quoted(name) for name in inputs]), inputs, "_pca_in")
         mean = vectors.select(Summarizer.mean(F.col("_pca_in"))).first()[0].toArray()
+        if len(mean) > self.getOrDefault("exactWidth"):
+            return self._fit_wide(vectors, inputs, len(mean))
         model = MlPca(k=len(mean), inputCol="_pca_in", outputCol="_pca_out").fit(vectors.select("_pca_in"))
         explained = [float(v) for v in model.explainedVariance.toArray()]
         total, k = 0.0, 0
