@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.membership import possibly_in
@@ -13,6 +13,8 @@ from tablewright.session import materialize
 
 SEED_WORDS = 3
 FILTER_BITS = 22  # the filter is 512 KB, however large the benchmark
+STRETCH = 4  # places of an item of which the rarest gram is a seed, whatever its frequency
+RARE_FOLD, RARE_LEAST = 4, 16
 MATCH, MISMATCH, GAP = 2, 1, 1
 _U = np.uint64
 
@@ -124,22 +126,69 @@ def _score(batches, least: float):
             ["doc_id", "item_id", "score", "start_word", "end_word"])
 
 
+def rare_seeds(grams: DataFrame, seen: DataFrame) -> DataFrame:
+    """``gram, item_id, place, words, rare``: the grams by which documents and items meet.
+
+    Of every stretch of ``STRETCH`` places the gram that fewest documents hold is a seed, so
+    each part of an item has one; grams that no document holds are passed over. A gram is rare
+    if it is held by at most ``RARE_FOLD`` times as many documents as the item's median gram
+    (at least ``RARE_LEAST``), and all rare grams are seeds. The median rises with the copies of
+    an item, so the grams of an often copied item stay rare, while "one of the" is not, beside
+    words that nobody else wrote.
+    """
+    held = seen.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    counted = grams.join(held, "gram", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    usual = counted.groupBy("item_id").agg(F.percentile("held", F.lit(0.5)).alias("usual"))
+    bound = F.greatest(F.lit(RARE_LEAST), RARE_FOLD * F.col("usual"))
+    stretch = Window.partitionBy("item_id", F.floor(F.col("place") / STRETCH)).orderBy("held", "place")
+    ranked = counted.filter("held > 0").withColumn("rank", F.row_number().over(stretch)).join(usual, "item_id")
+    return ranked.withColumn("rare", F.col("held") <= bound).filter("rare or rank = 1").select(
+        "gram", "item_id", "place", "words", "rare")
+
+
+def find_windows(seen: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``doc_id, item_id, low, high``: stretches of documents, in words, to align with an item.
+
+    Hits are gathered by diagonal in strips as wide as the item; strips whose hits lie within
+    the slack of an alignment are merged. A window needs one rare seed, or at least three
+    seeds, and one for every 16 words of the item.
+    """
+    width = F.greatest(F.col("words"), F.lit(16))
+    shift = F.col("at") - F.col("place")
+    pad = F.ceil(F.col("words") / 4) + 8
+    strips = seen.join(seeds, "gram").groupBy("doc_id", "item_id", F.floor(shift / width).alias("strip")).agg(
+        F.min(shift).alias("low"), F.max(shift).alias("high"), F.max("words").alias("words"),
+        F.count(F.lit(1)).alias("hits"), F.count_if("rare").alias("rare"))
+    along = Window.partitionBy("doc_id", "item_id").orderBy("strip")
+    apart = F.col("low") - F.lag("high").over(along) > pad
+    marked = strips.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int"))
+    islands = marked.withColumn("island", F.sum("apart").over(along)).groupBy("doc_id", "item_id", "island").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.max("words").alias("words"),
+        F.sum("hits").alias("hits"), F.sum("rare").alias("rare"))
+    needed = F.greatest(F.lit(3), F.ceil(F.col("words") / 16))
+    return islands.filter((F.col("rare") > 0) | (F.col("hits") >= needed)).select(
+        "doc_id", "item_id", (F.col("low") - pad).alias("low"), (F.col("high") + F.col("words") + pad).alias("high"))
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", least: float = 0.5,
 ) -> DataFrame:
     """Passages that repeat a benchmark item: ``doc_id, item_id, score, start_word, end_word``.
 
-    Words are runs of letters and digits, lower case. Three-word grams of whole texts are
-    held against the items' grams. Every gram of an item is a seed, however
-    frequent it is. Seeds that lie on nearby diagonals
-    give a window, whose words are aligned with the item's (2 a match, -1 a
-    mismatch or gap). ``score`` is the best local score over that of a whole copy; pairs of at
-    least ``least`` are returned, one row per document and item, its best passage as
+    Words are runs of letters and digits, lower case. Three-word grams of whole texts are held
+    against the items' grams; the rare ones are seeds (``rare_seeds``). Seeds that lie on nearby
+    diagonals give a window (``find_windows``), whose words are aligned with the item's (2 a
+    match, -1 a mismatch or gap). ``score`` is the best local score over that of a whole copy;
+    pairs of at least ``least`` are returned, one row per document and item, its best passage as
     a span of word numbers (end exclusive).
 
+    A passage that keeps a rare gram of its item is always aligned. Missed are passages that keep
+    no three words in a row, or only one or two grams that are common elsewhere.
+
     Null or empty texts, null ids and items of fewer than three words match nothing. Rows that
-    repeat an id are reported together under it. Other columns are ignored.
+    repeat an id are reported together under it. Other columns are ignored. Very long texts are
+    read once, whole, and only their windows are aligned.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("text")).filter("doc_id is not null")
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.lower(item_text_col).alias("item"))
@@ -151,17 +200,7 @@ def find_leaks(
         lambda batches: _seen(batches, SEED_WORDS, known), "doc_id long, at long, gram long")
     seen = materialize(seen.join(grams.select("gram").distinct(), "gram", "left_semi"), "seen")
 
-    seeds = grams.select("gram", "item_id", "place", "words")
-
-    width = F.greatest(F.col("words"), F.lit(16))
-    shift = F.col("at") - F.col("place")
-    windows = seen.join(seeds, "gram").groupBy(
-        "doc_id", "item_id", "words", F.floor(shift / width).alias("strip")).agg(
-        F.min(shift).alias("low"), F.max(shift).alias("high"), F.count(F.lit(1)).alias("hits"))
-    pad = F.ceil(F.col("words") / 4) + 8
-    windows = windows.filter((F.col("hits") > 1) | (F.col("words") <= 8)).select(
-        "doc_id", "item_id", (F.col("low") - pad).alias("low"), (F.col("high") + F.col("words") + pad).alias("high"))
-    windows = materialize(windows, "windows")
+    windows = materialize(find_windows(seen, rare_seeds(grams, seen)), "windows")
     rows = windows.join(possibly_in(source, "doc_id", windows, "doc_id"), "doc_id")
     rows = rows.join(tests, "item_id").select("doc_id", "item_id", "low", "high", "text", "item")
     scored = rows.mapInArrow(

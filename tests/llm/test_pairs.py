@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from tablewright.llm import queries as registered
 from tablewright.llm.components import components
-from tablewright.llm.decontaminate import align, find_leaks
+from tablewright.llm.decontaminate import SEED_WORDS, _grams, _seen, align, find_leaks, find_windows, gram_filter, rare_seeds
 from tablewright.llm.line_dedup import dedup_lines, without_lines
 from tablewright.llm.near_dedup import near_duplicates
 from tablewright.llm.wordhash import PIECE, shingle_sets
@@ -145,6 +145,70 @@ def test_edited_copy_of_an_item_that_many_documents_hold(spark):
     assert {r["doc_id"] for r in found} == set(range(31))
 
 
+def windows_of(docs, items):
+    grams = items.mapInArrow(lambda b: _grams(b, SEED_WORDS), "item_id long, place long, gram long, words long")
+    known = gram_filter(grams)
+    seen = docs.mapInArrow(lambda b: _seen(b, SEED_WORDS, known), "doc_id long, at long, gram long")
+    seen = seen.join(grams.select("gram").distinct(), "gram", "left_semi")
+    return find_windows(seen, rare_seeds(grams, seen))
+
+
+def test_one_intact_gram_is_enough(spark):
+    words = [f"w{i}" for i in range(1, 13)]
+    edited = [w if i not in (3, 6, 9) else f"other{i}" for i, w in enumerate(words, 1)]
+    long = [f"l{i}" for i in range(40)]
+    shifted = [w for i, w in enumerate(long) if i != 20]
+    rows = [(1, " ".join(["a"] * 30 + edited + ["b"] * 30)), (2, " ".join(["c"] * 15 + shifted)), (3, "c d e f g")]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(long))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in find_leaks(
+        spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert set(found) == {(1, 1), (2, 2)} and found[1, 1] == 15 / 24 and found[2, 2] == 77 / 80
+
+
+def test_everyday_grams_give_no_windows(spark):
+    rows = [(i, f"x{i} y{i} one of the z{i} and so on u{i} v{i}") for i in range(2000)]
+    item = "a b c one of the d e f g h i and so on j k l m n"
+    docs = spark.createDataFrame(rows + [(5000, f"q {item} r")], "doc_id long, text string")
+    windows = windows_of(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [r["doc_id"] for r in windows.collect()] == [5000]
+
+
+def test_leaks_agree_with_alignment_of_all_pairs(spark):
+    """Every pair that keeps one gram and scores 0.5 is found, through all kinds of edits."""
+    random = np.random.default_rng(5)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [list(random.choice(vocabulary, random.integers(6, 60))) for _ in range(40)]
+    texts = []
+    for _ in range(300):
+        item = list(items[random.integers(len(items))])
+        rate = random.uniform(0, 0.45)
+        kept = []
+        for word in item:
+            roll = random.uniform()
+            if roll < rate / 2:
+                kept.append(str(random.choice(vocabulary)))
+            elif roll < rate * 0.75:
+                kept += [word, str(random.choice(vocabulary))]
+            elif roll >= rate:
+                kept.append(word)
+        texts.append([*random.choice(vocabulary, 40), *kept, *random.choice(vocabulary, 25)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in find_leaks(docs, table).collect()}
+    code = {w: i + 1 for i, w in enumerate(vocabulary)}
+    as_codes = lambda words: np.array([code[w] for w in words], np.uint64)
+    grams = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in texts]
+    expected = {}
+    for j, item in enumerate(items):
+        best, _, _ = align([as_codes(item)] * len(texts), [as_codes(t) for t in texts])
+        own = {tuple(item[i : i + 3]) for i in range(len(item) - 2)}
+        for i, score in enumerate(best / (2 * len(item))):
+            if score >= 0.5 and grams[i] & own:
+                expected[i, j] = score
+    assert len(expected) > 200
+    assert found == expected
+
+
 def test_leaks_of_odd_rows(odd_docs, spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta", 5)], "item_id long, text string, doc_id int")
     assert {r["doc_id"] for r in find_leaks(odd_docs, items).collect()} == {1, 2, 3}
