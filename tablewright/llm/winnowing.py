@@ -8,11 +8,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAM = 5  # words
-WINDOW = 16  # grams: any shared passage of 20 words shares a fingerprint
+GRAM = 4  # pieces
+WINDOW = 16  # grams: any shared passage of 19 pieces shares a fingerprint, in long texts
+WINDOWS_PER_TEXT = 16  # a text of fewer than 16 times as many grams has narrower windows
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
-WORD = r"[^\x20\x09-\x0D]+"
+# Scripts written without blanks, whose characters are pieces of their own: Thai, Lao, Burmese, Khmer,
+# Chinese, Japanese and Yi.
+UNSPACED = (r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{A4CF}\x{F900}-\x{FAFF}"
+            r"\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}")
+PIECE = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]{{1,6}}"
 LOW = (1 << 31) - 1
 ROWS_PER_CELL = 5_000
 MOST_CELLS = 10_000  # how finely the order of ids is cut; larger cells are sorted with spill
@@ -21,13 +26,20 @@ MOST_CELLS = 10_000  # how finely the order of ids is cut; larger cells are sort
 def winnow(rows: DataFrame, text_col: str, output: str) -> DataFrame:
     """Add ``output``: the fingerprint of a text as an array of long.
 
-    Each k-gram of words has the polynomial hash of its word hashes. Of every window of
-    consecutive grams the least hash is kept, the rightmost if it occurs twice, with
-    its place: an element is hash * 2^31 + (2^31 - 1 - place), so its order is just that. A
-    text of fewer words than a gram is one gram; one without words has no fingerprint.
+    A text is cut into pieces: words, of which long ones give a piece for every six characters,
+    and single characters of scripts without blanks. Each k-gram of pieces has the polynomial
+    hash of their hashes. Of every window of consecutive grams the least hash is kept, the
+    rightmost if it occurs twice, with its place: an element is
+    hash * 2^31 + (2^31 - 1 - place), so its order is just that. A text of fewer pieces than a
+    gram is one gram; one without pieces has no fingerprint.
+
+    Windows are ``WINDOW`` grams wide, in texts of fewer than ``WINDOW * WINDOWS_PER_TEXT`` grams
+    1, 2, 4 or 8: the largest of these that fits into the text ``WINDOWS_PER_TEXT`` times, or 1. The least gram
+    of a window is also the least of any narrower window that holds it, so texts of different
+    length still share the fingerprints that the wider windows promise.
     """
     powers = [pow(BASE, GRAM - 1 - j, PRIME) for j in range(GRAM)]
-    words, hashes, grams, codes = (f"_{output}_{part}" for part in ("w", "h", "g", "c"))
+    words, hashes, grams, codes, size = (f"_{output}_{part}" for part in ("w", "h", "g", "c", "n"))
     count = F.size(hashes)
 
     def gram(i: Column) -> Column:
@@ -35,17 +47,26 @@ def winnow(rows: DataFrame, text_col: str, output: str) -> DataFrame:
         return F.pmod(sum(terms[1:], terms[0]), F.lit(PRIME))
 
     none = F.array().cast("array<bigint>")
-    return (
-        rows.withColumn(words, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0)))
+    hashed = (
+        rows.withColumn(words, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(PIECE), F.lit(0)))
         .withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 28) - 1))))
         .withColumn(grams, F.when(count >= GRAM, F.transform(F.sequence(F.lit(0), count - GRAM), gram))
                     .when(count > 0, F.array(F.pmod(F.xxhash64(F.col(hashes)), F.lit(PRIME)))).otherwise(none))
         .withColumn(codes, F.transform(grams, lambda g, i: g * F.lit(1 << 31) + (F.lit(LOW) - i)))
-        .withColumn(output, F.when(F.size(codes) > WINDOW, F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.size(codes) - WINDOW + 1),
-            lambda i: F.array_min(F.slice(F.col(codes), i, F.lit(WINDOW))))))
-            .when(F.size(codes) > 0, F.array(F.array_min(codes))).otherwise(none))
-        .drop(words, hashes, grams, codes))
+        .withColumn(size, F.size(codes)))
+    # The least of each window by doubling: a window of 2 w is two of w side by side.
+    least, step = F.col(codes), 1
+    while step < WINDOW:
+        moved = F.slice(least, F.lit(step + 1), F.greatest(F.col(size) - step, F.lit(0)))
+        hashed = hashed.withColumn(
+            codes, F.when(F.col(size) >= 2 * step * WINDOWS_PER_TEXT, F.zip_with(least, moved, lambda a, b: F.least(a, b))).otherwise(least))
+        step *= 2
+    width = F.lit(1)
+    for w in (2**i for i in range(1, WINDOW.bit_length())):
+        width = F.when(F.col(size) >= w * WINDOWS_PER_TEXT, w).otherwise(width)
+    return hashed.withColumn(
+        output, F.array_distinct(F.slice(F.col(codes), F.lit(1), F.greatest(F.col(size) - width + 1, F.lit(0))))).drop(
+        words, hashes, grams, codes, size)
 
 
 def fingerprint_hashes(codes: Column) -> Column:

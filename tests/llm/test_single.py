@@ -18,7 +18,7 @@ from tablewright.llm.licenses import scan_licenses
 from tablewright.llm.mixing import first_words, mix_sources, mixed_rows, source_targets
 from tablewright.llm.secrets import KINDS, find_secrets, labelled_samples, train_markov
 from tablewright.llm.sharding import cut_ends, shard_documents, smallest_capacity
-from tablewright.llm.winnowing import BASE, GRAM, LOW, PRIME, WINDOW, fingerprint_documents, winnow
+from tablewright.llm.winnowing import BASE, GRAM, LOW, PRIME, WINDOW, WINDOWS_PER_TEXT, fingerprint_documents, winnow
 
 
 # --- HTML
@@ -399,8 +399,23 @@ def test_license_lines_of_documents(spark, folder, docs):
 # --- fingerprints
 
 
+def plain_pieces(text):
+    """Words cut every six characters, characters of scripts without blanks alone."""
+    ranges = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF),
+              (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+    pieces, run = [], ""
+    for c in text + " ":
+        alone = any(a <= ord(c) <= b for a, b in ranges)
+        if alone or c in " \t\n\x0b\x0c\r":
+            pieces += [run[i : i + 6] for i in range(0, len(run), 6)] + [c] * alone
+            run = ""
+        else:
+            run += c
+    return pieces
+
+
 def plain_winnow(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    words = plain_pieces(text or "")
     hashes = [(xxhash.xxh64(w.encode(), seed=42).intdigest()) & ((1 << 28) - 1) for w in words]
     if not hashes:
         return []
@@ -408,9 +423,10 @@ def plain_winnow(text):
         return None
     grams = [sum(h * pow(BASE, GRAM - 1 - j, PRIME) for j, h in enumerate(hashes[i : i + GRAM])) % PRIME
              for i in range(len(hashes) - GRAM + 1)]
+    width = max([w for w in (1, 2, 4, 8, WINDOW) if len(grams) >= w * WINDOWS_PER_TEXT] or [1])
     picked = []
-    for i in range(max(1, len(grams) - WINDOW + 1)):
-        window = grams[i : i + WINDOW]
+    for i in range(len(grams) - width + 1):
+        window = grams[i : i + width]
         at = i + max(j for j, g in enumerate(window) if g == min(window))
         if (at, grams[at]) not in picked:
             picked.append((at, grams[at]))
@@ -434,6 +450,37 @@ def test_shared_passage_of_twenty_words_shares_a_fingerprint(spark):
     assert common
 
 
+def test_winnowing_of_all_scripts_and_lengths_agrees_with_the_plain_form(spark):
+    random = np.random.default_rng(11)
+    letters = list("abcdefgé ü\n\t") + list("日本語の文章เขียน漢字カナ") + ["\U00020000", " ", " "]
+    texts = ["".join(random.choice(letters, size)) for size in [0, 1, 3, 7, 20, 63, 64, 70, 130, 300, 900, 4000] for _ in range(6)]
+    texts += ["x" * 5000, "ab " * 900, "字" * 700]
+    table = winnow(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string"), "text", "codes")
+    for row in table.collect():
+        wanted = plain_winnow(row["text"])
+        if wanted is not None:
+            assert [(LOW - (c & LOW), c >> 31) for c in row["codes"]] == wanted
+
+
+def test_half_of_a_text_is_told_from_another_text(spark):
+    """From 60 characters on, in any script, with blanks or without."""
+    random = np.random.default_rng(2)
+    kinds = {
+        "japanese": [chr(c) for c in range(0x3041, 0x3094)] + [chr(c) for c in range(0x4E00, 0x4F00)],
+        "thai": [chr(c) for c in range(0xE01, 0xE2F)],
+        "latin": list("etaoinshrdlu   "), "code": list("0123456789abcdef"), "cyrillic": list("оеаинтсрвл   "),
+    }
+    rows = []
+    for letters in kinds.values():
+        for size in (60, 61, 80, 120, 200, 400, 540, 1000, 3000):
+            rows += ["".join(random.choice(letters, size)) for _ in range(4)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id int, text string")
+    found = fingerprint_documents(table).collect()
+    assert len(found) == len(rows)
+    assert min(r["near_edited"] for r in found) > 0
+    assert np.mean([r["near_next"] for r in found]) < 0.01
+
+
 def test_fingerprints_against_the_edited_text(spark, folder, docs, monkeypatch):
     from tablewright.llm import winnowing
     monkeypatch.setattr(winnowing, "ROWS_PER_CELL", 17)  # so that neighbours lie in other cells
