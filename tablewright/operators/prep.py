@@ -276,21 +276,33 @@ def category_codes(df: DataFrame, name: str, as_text: Column | None = None, **op
     return ordered.select("value", F.col("one_before").cast("double").alias("code"))
 
 
+FREQUENT = 1_000  # a value of at least one in so many rows of its column is frequent
+
+
 def all_category_codes(df: DataFrame, names: list[str], **options) -> DataFrame:
-    """(column, value, code) of several text columns, learnt in one pass."""
+    """(column, value, code, frequent) of several text columns, learnt in one pass.
+
+    At most ``FREQUENT`` values a column can be frequent, however many there are.
+    """
     cells = F.array(
         *[F.struct(F.lit(name).alias("column"), category_text(name).alias("value")) for name in names]
     )
-    distinct = df.select(F.inline(cells)).distinct().withColumn("one", F.lit(1).cast("long"))
+    distinct = df.select(F.inline(cells)).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.lit(1).cast("long").alias("one"))
     ordered = running_totals(distinct, ["value"], ["one"], ["column"], **options)
-    return ordered.select("column", "value", F.col("one_before").cast("double").alias("code"))
+    totals = ordered.groupBy(F.col("column").alias("_column")).agg(F.sum("n").alias("_rows"))
+    return ordered.join(totals, F.col("column") == F.col("_column")).select(
+        "column", "value", F.col("one_before").cast("double").alias("code"),
+        (F.col("n") * FREQUENT >= F.col("_rows")).alias("frequent"))
 
 
 class CategoryModel(Model):
     """Replaces categories by their codes; a value not seen in training becomes -1.
 
-    The code table is read back from the shared folder: a small one is broadcast by
-    its measured size, a large one shuffled.
+    The code table is read back from the shared folder. Frequent values, at most ``FREQUENT``
+    of a column, are looked up in a broadcast table; the rows left over join the others, a small table broadcast
+    by its measured size, a large one shuffled. Rows already coded are spread by a hash of
+    themselves there, so no value that holds many rows is one key of a shuffle.
     """
 
     def __init__(self, names=(), codes: DataFrame | None = None):
@@ -300,15 +312,27 @@ class CategoryModel(Model):
     def _transform(self, dataset):
         order = dataset.columns
         for name in self.names:
-            own = self.codes.filter(F.col("column") == name).select(
-                F.col("value").alias("_value"), F.col("code").alias("_code")
-            )
+            own = self.codes.filter(F.col("column") == name)
+            common = own.filter("frequent").select(
+                F.col("value").alias("_value"), F.col("code").alias("_common"))
+            rare = own.filter("not frequent").select(
+                F.lit(False).alias("_known"), F.xxhash64("value").alias("_hash"),
+                F.col("value").alias("_value"), F.col("code").alias("_code"))
+            found = dataset.join(F.broadcast(common), category_text(name) == F.col("_value"), "left").drop("_value")
+            known = F.col("_common").isNotNull()
+            found = found.withColumns({
+                "_is_known": known,
+                "_text": F.when(~known, category_text(name)).otherwise(F.lit("")),
+                "_spread": F.when(known, F.xxhash64(*[quoted(c) for c in order])).otherwise(
+                    F.xxhash64(category_text(name)))})
+            same = ((F.col("_is_known") == F.col("_known")) & (F.col("_spread") == F.col("_hash"))
+                    & (F.col("_text") == F.col("_value")))
             dataset = (
-                dataset.join(own, category_text(name) == F.col("_value"), "left")
-                .withColumn(name, F.coalesce("_code", F.lit(-1.0)))
-                .drop("_value", "_code")
+                found.join(rare, same, "left")
+                .withColumn(name, F.coalesce("_common", "_code", F.lit(-1.0)))
+                .select(*[quoted(c) for c in order])
             )
-        return dataset.select(*[quoted(name) for name in order])
+        return dataset
 
 
 class CategoryEncoder(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):

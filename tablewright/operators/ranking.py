@@ -17,30 +17,39 @@ from pyspark.sql import types as T
 
 from tablewright.session import materialize
 
-PREFIX_BYTES = 6
+TEXTS_PER_RANGE = 200  # texts drawn for each range whose bounds are sought
 
 
-def _shared_prefix(df: DataFrame, value: str) -> int:
-    """How many leading characters all texts of the column share."""
-    ends = df.agg(F.min(value), F.max(value)).first()
-    low, high = ends[0] or "", ends[1] or ""
-    same = 0
-    while same < min(len(low), len(high)) and low[same] == high[same]:
-        same += 1
-    return same
+def _text_range(df: DataFrame, value: str, ranges: int) -> Column:
+    """The range of a text: how many bounds it reaches.
+
+    Bounds are whole texts, so neither a long beginning that most share nor a few texts without it
+    upset them. They are quantiles of about ``TEXTS_PER_RANGE`` rows a range, drawn by a hash of the
+    row; the driver receives the bounds alone. They decide how even ranges are, never the order.
+    """
+    drawing = F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000)).alias("drawing")
+    known = df.select(F.col(value).alias("text"), drawing).filter("text is not null")
+    share = min(1.0, TEXTS_PER_RANGE * ranges / max(1, known.count()))
+    drawn = known.filter(F.col("drawing") < ceil(share * 1_000_000))
+    tiles = drawn.select("text", F.ntile(ranges).over(Window.orderBy("text")).alias("tile"))
+    bounds = sorted({row["low"] for row in tiles.groupBy("tile").agg(F.min("text").alias("low")).filter("tile > 1").collect()},
+                    key=lambda text: text.encode())
+    if not bounds:
+        return F.lit(0.0)
+    table = F.array(*[F.lit(bound) for bound in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    reached = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= len(bounds)) & (F.get(table, at + step - 1) <= F.col(value)), at + step).otherwise(at))
+    return reached.cast("double")
 
 
 def _place(df: DataFrame, value: str) -> Column:
     """A number that never falls when the value rises; null for null.
 
     Ranges are cut on it, so it may be equal for different values: those of one range are
-    ordered by the value itself. A text gives the bytes after the prefix that all share.
+    ordered by the value itself.
     """
     kind, column = df.schema[value].dataType, F.col(value)
-    if isinstance(kind, T.StringType):
-        rest = F.substr(column, F.lit(_shared_prefix(df, value) + 1), F.lit(PREFIX_BYTES))
-        digits = F.rpad(F.substring(F.hex(F.encode(rest, "UTF-8")), 1, 2 * PREFIX_BYTES), 2 * PREFIX_BYTES, "0")
-        return F.conv(digits, 16, 10).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("double")
     if isinstance(kind, T.TimestampNTZType):
@@ -53,8 +62,11 @@ def _place(df: DataFrame, value: str) -> Column:
 def with_range(df: DataFrame, value: str, ranges: int, output: str = "_range") -> DataFrame:
     """Add the number of the value range each row falls in: null lowest, NaN highest.
 
-    One path for every type and size: with one range the others are simply fewer.
+    One path for every size: with one range the others are simply fewer.
     """
+    if isinstance(df.schema[value].dataType, T.StringType):
+        number = _text_range(df, value, ranges) if ranges > 1 else F.lit(0.0)
+        return df.withColumn(output, F.when(F.col(value).isNull(), F.lit(-1.0)).otherwise(number))
     placed = df.withColumn("_place", _place(df, value))
     bounds: list[float] = []
     if ranges > 1:

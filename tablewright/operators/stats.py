@@ -14,7 +14,7 @@ from tablewright.operators.analysis import AGENT, BASELINES
 from tablewright.operators.ranking import distributed_rank, running_totals
 from tablewright.session import materialize
 
-EXACT_UP_TO = 50  # larger or tied samples use the normal approximation
+EXACT_UP_TO = 50  # under method "auto" larger or tied samples use the normal approximation
 EPSILON = 1e-10
 
 
@@ -105,27 +105,34 @@ def _exact_p(w: float, n: int) -> float:
     return min(1.0, 2.0 * ways[: int(w) + 1].sum() / 2.0**n)
 
 
+def _barred(method: str) -> Column:
+    """0 where the exact distribution applies: it knows no ties."""
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError(f"unknown method {method!r}: auto, exact or approx")
+    ties, large = F.col("tie_term"), (F.col("n") > EXACT_UP_TO).cast("double")
+    return {"auto": ties + large, "exact": ties, "approx": F.lit(1.0)}[method]
+
+
 @F.pandas_udf(T.DoubleType())
-def _p_value(w: pd.Series, z: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-    # A handful of aggregated rows, one per comparison; SQL has no error function.
+def _p_value(w: pd.Series, z: pd.Series, n: pd.Series, barred: pd.Series) -> pd.Series:
+    # Exact where nothing bars it, as ties do. A handful of aggregated rows, one per comparison; SQL has no error function.
     return pd.Series(
         [
-            _exact_p(a, int(count)) if tied == 0 and count <= EXACT_UP_TO
-            else math.erfc(abs(score) / math.sqrt(2.0))
-            for a, score, count, tied in zip(w, z, n, ties)
+            _exact_p(a, int(count)) if bar == 0 else math.erfc(abs(score) / math.sqrt(2.0))
+            for a, score, count, bar in zip(w, z, n, barred)
         ]
     )
 
 
-def wilcoxon_signed_rank(differences: DataFrame, key: str = "baseline", **options) -> DataFrame:
+def wilcoxon_signed_rank(differences: DataFrame, key: str = "baseline", method: str = "auto", **options) -> DataFrame:
     """Two-sided signed rank test per comparison; needs two non-zero differences.
 
-    Exact for up to 50 differences without ties, otherwise the tie-corrected normal
-    approximation.
+    ``method`` is ``exact`` (all sign choices, whose work grows with the cube of the sample), ``approx`` (tie-corrected
+    normal approximation) or ``auto``: exact for up to 50 differences. Samples with ties are approximated.
     """
+    barred = _barred(method)
     ranks = signed_ranks(differences, key, **options).filter(F.col("n") >= 2)
-    p = _p_value("w", "z", F.col("n").cast("double"), F.col("tie_term"))
-    return ranks.withColumn("p_value", p)
+    return ranks.withColumn("p_value", _p_value("w", "z", F.col("n").cast("double"), barred))
 
 
 def cohens_d(differences: DataFrame, key: str = "baseline") -> DataFrame:

@@ -107,6 +107,25 @@ def test_exact_signed_rank(spark):
     assert row["n"] == 8 and row["w"] == w and row["p_value"] == pytest.approx(p, abs=1e-12)
 
 
+def test_method_of_the_signed_rank_test(spark):
+    values = [0.01 * i * (-1 if i % 3 == 0 else 1) for i in range(1, 61)]
+    df = spark.createDataFrame([("b", v) for v in values], "baseline string, difference double")
+    found = {m: S.wilcoxon_signed_rank(df, method=m).first() for m in ("auto", "exact", "approx")}
+    ways = np.array([1.0])
+    for rank in range(1, 61):
+        ways = np.convolve(ways, np.eye(1, rank + 1, rank)[0] + np.eye(1, rank + 1, 0)[0])
+    exact = min(1.0, 2 * ways[: int(found["exact"]["w"]) + 1].sum() / 2.0**60)
+    assert found["exact"]["p_value"] == pytest.approx(exact, rel=1e-9)
+    assert found["auto"]["p_value"] == found["approx"]["p_value"] == pytest.approx(exact, rel=0.05)
+    few = spark.createDataFrame([("b", v) for v in values[:9]], "baseline string, difference double")
+    assert S.wilcoxon_signed_rank(few).first()["p_value"] == S.wilcoxon_signed_rank(few, method="exact").first()["p_value"]
+    tied = spark.createDataFrame([("b", 0.1), ("b", 0.1), ("b", -0.2)], "baseline string, difference double")
+    rows = [S.wilcoxon_signed_rank(tied, method=m).first() for m in ("exact", "approx")]
+    assert rows[0]["p_value"] == rows[1]["p_value"]
+    with pytest.raises(ValueError):
+        S.wilcoxon_signed_rank(df, method="other")
+
+
 def test_signed_rank_with_ties_is_normal(spark):
     values = [0.1, 0.1, -0.1, 0.2, 0.3, 0.3, -0.4, 0.5]
     df = spark.createDataFrame([("b", v) for v in values], "baseline string, difference double")

@@ -53,6 +53,22 @@ def test_codes_of_unseen_and_missing_categories(spark):
     assert [r["x"] for r in model.transform(test).collect()] == [0.0, 1.0, 2.0, -1.0]
 
 
+def test_codes_of_a_hot_category_among_very_many(spark):
+    """A third of the rows share a value, the others hold one each; no code table is broadcast by size."""
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("x"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = prep.CategoryEncoder(inputCols=["x"]).fit(rows)
+        coded = model.transform(rows).toPandas().set_index("id")["x"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert [r["value"] for r in model.codes.filter("frequent").collect()] == ["hot"]
+    texts = {i: "hot" if i % 3 == 0 else str(i) for i in range(6000)}
+    place = {text: k for k, text in enumerate(sorted(set(texts.values())))}
+    assert coded.to_dict() == {i: float(place[text]) for i, text in texts.items()}
+
+
 def test_one_hot_gives_unseen_codes_no_slot(spark):
     train = spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "x double")
     model = prep.OneHotStep(inputCols=["x"]).fit(train)

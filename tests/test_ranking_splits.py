@@ -22,6 +22,24 @@ def test_text_ranges(spark):
     assert all(order[r["n_before"]] == r["v"] for r in rows)
 
 
+def test_one_foreign_text_does_not_crowd_the_others_into_a_range(spark):
+    urls = spark.range(20_000).select(F.concat(F.lit("https://example.org/pages/of/a/long/path/"), F.lpad("id", 6, "0")).alias("v"))
+    foreign = spark.createDataFrame([("about",), ("\U0001F600 zz",), (None,)], "v string")
+    rows = ranking.with_range(urls.unionByName(foreign), "v", 8).toPandas()
+    sizes = rows.groupby("_range").size()
+    assert sizes[-1.0] == 1 and len(sizes) == 9 and sizes.max() < 3 * 20_000 / 8
+    known = rows.dropna(subset=["v"])
+    order = known.iloc[np.argsort([v.encode() for v in known["v"]])]
+    assert order["_range"].is_monotonic_increasing
+
+
+def test_a_text_repeated_in_most_rows_keeps_ranges_legal(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("v"))
+    rows = ranking.with_range(df, "v", 6).toPandas()
+    assert rows[rows["v"] == "hot"]["_range"].nunique() == 1 and rows["_range"].nunique() > 1
+    assert ranking.with_range(df.limit(0), "v", 6).count() == 0
+
+
 def test_ordinal_rank_of_one_hot_value(spark):
     """Nine of ten rows share one value and one group."""
     df = spark.range(2000).selectExpr(
