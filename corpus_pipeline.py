@@ -1,10 +1,17 @@
-"""Corpus pipeline: each stage reads what its predecessor kept."""
+"""Corpus pipeline: each stage reads what its predecessor kept.
+
+All stages keep extra columns, whatever their names, but for those that the last one adds
+(``size, text_crc32, law, shard, slot, grown_shard``), which it replaces. Null and empty texts and texts without a
+letter go with the first stage; texts are read whole, however long; rows that repeat an id stay or go together;
+rows without an id are never copies or leaks of others. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.columns import free_prefix
 from tablewright.llm.decontaminate import find_leaks
 from tablewright.llm.language import UNDETERMINED, identify_language, train_language_model
 from tablewright.llm.mixing import mix_sources, mixed_rows
@@ -17,8 +24,9 @@ LEAST_SCORE = 0.3  # mean probability below which a language counts as unknown
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose language the model cannot tell at all, go."""
-    found = identify_language(docs, train_language_model(docs), prefix="_")
-    known = found.filter((F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= LEAST_SCORE))
+    own = free_prefix(docs.columns)
+    found = identify_language(docs, train_language_model(docs), prefix=own)
+    known = found.filter((F.col(f"{own}lang_pred") != UNDETERMINED) & (F.col(f"{own}score") >= LEAST_SCORE))
     return known.select(docs.columns)
 
 
@@ -38,7 +46,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, the last of a source cut to its budget."""
-    return mixed_rows(mix_sources(docs, prefix="_mix_"), prefix="_mix_")
+    own = free_prefix(docs.columns) + "mix_"
+    return mixed_rows(mix_sources(docs, prefix=own), prefix=own)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.columns import make_room
+from tablewright.llm.columns import inner_names, make_room
 from tablewright.llm.wordhash import string_buffers
 
 HIDDEN = 8  # state of each direction
@@ -226,6 +226,7 @@ def _predict(columns: Iterator[pa.Array], model: Model) -> Iterator[pa.Array]:
             ["lang_pred", "score"])
 
 
+@inner_names("_found")
 def identify_language(
     docs: DataFrame, model: Model | None, text_col: str = "text", prefix: str = ""
 ) -> DataFrame:

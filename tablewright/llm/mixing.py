@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.columns import make_room
+from tablewright.llm.columns import inner_names, make_room
 from tablewright.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +53,7 @@ def source_targets(sources: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", target.alias("target"))
 
 
+@inner_names("_size", "_key", "_cell", "_tie", "_offset", "_source_size", "_target", "_before")
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     seed: int = 11, prefix: str = "",
@@ -107,6 +108,7 @@ def first_words(text: Column, count: Column) -> Column:
     return F.array_join(F.slice(F.split(text, WORD_END), F.lit(1), count.cast("int")), "")
 
 
+@inner_names("_cut", "_cut_text")
 def mixed_rows(
     mixed: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", prefix: str = ""
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.columns import make_room
+from tablewright.llm.columns import inner_names, make_room
 
 # The kinds in their order, and what each must match.
 ASSIGN = (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?"
@@ -91,6 +91,9 @@ def _any(piece: Column) -> Column:
     return F.lit(True)
 
 
+INNER = ("_text", "_assign", "_access", "_hex")
+
+
 def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
     """Add ``_text`` (never null, free of marks) and the span arrays of the fixed patterns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -103,6 +106,7 @@ def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
         "_hex": _spans(F.col("_text"), HEX, "hex", _any)})
 
 
+@inner_names(*INNER)
 def labelled_samples(docs: DataFrame, id_col: str, text_col: str, sample_docs: int, seed: int) -> DataFrame:
     """``(value, random)`` from about ``sample_docs`` documents, chosen by a hash of the id.
 
@@ -169,6 +173,7 @@ def _ratio(token: Column, table: Column) -> Column:
         F.try_element_at(table, at.cast("int")), F.lit(0.0)))
 
 
+@inner_names(*INNER, "_known", "_rest", "_token")
 def find_secrets(
     docs: DataFrame, model: list[float] | None, text_col: str = "text", least_ratio: float = 10.0,
     least_mean: float = LEAST_MEAN,

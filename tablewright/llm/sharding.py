@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.columns import make_room
+from tablewright.llm.columns import inner_names, make_room
 from tablewright.session import materialize
 
 FIRST_DIGITS = 3  # hex digits of the cells that are totalled first
@@ -162,6 +162,7 @@ def large_groups(groups: DataFrame, shards: int) -> list[str]:
     return alone
 
 
+@inner_names("_digest", "_bytes", "_crc", "_shard", "_cell", "_n", "_offset")
 def shard_documents(
     docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

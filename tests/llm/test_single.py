@@ -7,13 +7,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tablewright.llm import queries as registered
 from tablewright.llm.html_extract import extract_pages, main_text
-from tablewright.llm.language import _gradients, _start, fit_network, identify_language, train_language_model
+from tablewright.llm.language import _gradients, _start, fit_network, identify_language, pooled, train_language_model
 from tablewright.llm.licenses import scan_licenses
 from tablewright.llm.mixing import first_words, mix_sources, mixed_rows, source_targets
 from tablewright.llm.secrets import KINDS, find_secrets, labelled_samples, train_markov
@@ -207,6 +208,12 @@ def test_network_tells_languages_apart():
     rows = [(" ".join(rng.choice(parts[lang], 12)).encode(), lang) for lang in "xy" * 80]
     model = fit_network([r[0] for r in rows], [r[1] for r in rows], updates=20)
     assert model.labels == ["x", "y"]
+    model = fit_network([r[0] for r in rows], [r[1] for r in rows], updates=150)
+    fresh = [(" ".join(rng.choice(parts[lang], size)), lang) for lang in "xy" for size in (2, 5, 12, 100) for _ in range(10)]
+    shares = pooled(model, pa.array([text for text, _ in fresh]))
+    assert [model.labels[i] for i in shares.argmax(axis=1)] == [lang for _, lang in fresh]
+    mixed = pooled(model, pa.array([" ".join(parts["x"] * 20 + parts["y"] * 20)]))
+    assert 0.25 < mixed[0, 0] < 0.75
 
 
 def test_language_of_held_out_documents(spark, folder):
