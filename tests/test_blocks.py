@@ -44,3 +44,19 @@ def test_figures_that_are_told_need_no_subtrees(spark):
     assert [len(nodes) for nodes in grown.uppers] == [5] * 4 and grown.subtrees.count() == 0
     scored = forest.forest_scores(grown, rows, "x", "id").orderBy("id").collect()
     assert [r["scores"][0] for r in scored] == pytest.approx(y.tolist())
+
+
+def test_few_rows_grow_all_trees_in_one_group(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr(
+        "array(cast(id % 50 as double), cast(id % 7 as double)) AS x", "cast(id % 50 > 20 as double) AS y").persist()
+    groups = []
+    grow = forest._upper_parts
+    monkeypatch.setattr(forest, "_upper_parts", lambda blocks, first, count, *more: (
+        groups.append(count), grow(blocks, first, count, *more))[1])
+    growth = forest.ForestGrowth(trees=24, local_rows=200)
+    shown = lambda found: ([[(n.feature, n.bin, n.sums) for n in tree] for tree in found.uppers],
+                           sorted(map(str, found.subtrees.collect())))
+    together = shown(forest.fit_forest(rows, "x", "y", 2, growth))
+    monkeypatch.setattr(forest, "ROWS_AT_ONCE", 0)
+    assert shown(forest.fit_forest(rows, "x", "y", 2, growth)) == together
+    assert groups == [24, 10, 10, 4]
