@@ -63,6 +63,21 @@ def test_exact_quantiles(spark, limit, probability):
     assert found["d"] is None
 
 
+def test_cells_narrow_even_columns_and_a_sketch_the_others(spark, monkeypatch):
+    df = spark.range(4000).selectExpr(
+        "cast(id as double) AS even", "cast(id % 5 as double) AS few",
+        "case when id % 100 = 0 then 1e300 * (id - 2000) else id / 1e6 end AS uneven")
+    sketched = []
+    sketch = quantiles._sketched
+    monkeypatch.setattr(quantiles, "_sketched", lambda df, value, brackets, columns: (
+        sketched.extend(columns), sketch(df, value, brackets, columns))[1])
+    found = quantiles.exact_quantiles(df, df.columns, max_bracket_rows=50)
+    frame = df.toPandas()
+    for name in df.columns:
+        assert found[name] == pytest.approx(np.sort(frame[name])[1999:2001].mean(), rel=1e-12)
+    assert set(sketched) == {"uneven"}
+
+
 def _skewed(spark):
     """One class holds most rows, one has a single row, one label is missing."""
     return spark.range(1003).selectExpr(

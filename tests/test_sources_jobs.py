@@ -90,6 +90,26 @@ def task(spark, kind="classification", strategy=jobs.SINGLE_SPLIT):
     return jobs.TableTask(kind, spark.createDataFrame(frame), "y", kind, ("id",), strategy)
 
 
+def test_a_run_codes_its_rows_once_and_lets_go_of_them(spark, monkeypatch):
+    given = task(spark)
+    rows, categories, n_labels = jobs.prepare(given)
+    marked, _ = jobs.with_folds(rows, given)
+    seen = []
+    build = jobs.build_pipeline
+
+    def building(*args):
+        pipeline = build(*args)
+        seen.extend(type(stage).__name__ for stage in pipeline.getStages())
+        return pipeline
+
+    monkeypatch.setattr(jobs, "build_pipeline", building)
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    spec = {"preprocessing": ["imputer"], "model": "LogisticRegression", "hyperparameters": {}}
+    row = jobs.run_one(given, "m", spec, marked.filter("fold <> 0"), marked.filter("fold = 0"), categories, n_labels)
+    assert categories == ["c"] and row["f1_macro"] > 0.8 and "error" not in row
+    assert "CategoryEncoder" not in seen and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
 def test_experiments_then_ablation_then_report(spark):
     results, profiles = fresh_path(spark, "results"), fresh_path(spark, "profiles")
     tasks = [task(spark), task(spark, "regression")]
