@@ -60,3 +60,33 @@ def test_few_rows_grow_all_trees_in_one_group(spark, monkeypatch):
     monkeypatch.setattr(forest, "ROWS_AT_ONCE", 0)
     assert shown(forest.fit_forest(rows, "x", "y", 2, growth)) == together
     assert groups == [24, 10, 10, 4]
+
+
+def test_packed_values_get_the_bins_that_the_table_form_gives(spark):
+    """Packing made no bins itself: they had to be worked out row by row before."""
+    edges = [[0.5, 2.0, 7.0], [], [-1.0]]
+    given = [[0.5, 1.0, -1.0], [0.4, None, -1.1], [float("nan"), 3.0, float("inf")], [9.0, 0.0, float("-inf")],
+             [None, None, None], [2.0, 1.0, 0.0], None, [7.0]]
+    rows = spark.createDataFrame([(i, x, float(i)) for i, x in enumerate(given)], "_id long, _x array<double>, _y double")
+    was = [r["_bins"] for r in boosting.binned(rows.coalesce(1), "_x", edges).orderBy("_id").collect()]
+    found = blocks.pack(rows.coalesce(1), 3, "u1", edges).toArrow().to_batches()
+    bins = np.concatenate([bins for batch in found for _, _, bins, _ in blocks.unpack(batch, 3, "u1")], axis=1)
+    assert bins.T.tolist() == was and was[0] == [1, 0, 1] and was[2] == [3, 0, 1]
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_rows_end_where_walking_each_ends(monkeypatch, few):
+    """Few splits deal the rows split by split; the walk of every row stays for many."""
+    monkeypatch.setattr(blocks, "FEW_SPLITS", few)
+    random = np.random.default_rng(3)
+    bins = random.integers(0, 256, (3, 400)).astype("u1")
+    tree = tuple(np.array(a) for a in ([1, 0, -1, 2, -1, -1, -1], [100, 256, 0, 7, 0, 0, 0], [1, 3, 2, 5, 4, 5, 6],
+                                       [2, 4, 2, 6, 4, 5, 6]))
+    for rows in (None, random.choice(400, 90)):
+        at = []
+        for row in range(400) if rows is None else rows:
+            node = 0
+            while tree[0][node] >= 0:
+                node = (tree[2] if bins[tree[0][node], row] < tree[1][node] else tree[3])[node]
+            at.append(node)
+        assert blocks.end_nodes(bins, *tree, rows).tolist() == at and set(at) == {2, 5, 6}

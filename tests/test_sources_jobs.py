@@ -195,3 +195,17 @@ def test_scaling_rows(spark):
     runs = jobs.profile_scaling(spark, [1000, 2000], lambda n: synthetic.synthetic_table(spark, n)).collect()
     assert [(r["dataset"], r["n_rows"]) for r in runs] == [("synthetic_1K", 1000), ("synthetic_2K", 2000)]
     assert all(r["size_mb"] > 0 and r["spark_profiling_time_s"] > 0 for r in runs)
+
+
+def test_a_single_split_marks_its_rows_once(spark, tmp_path, monkeypatch):
+    """Codes, training and test rows each read, spread and marked the table again."""
+    table = spark.range(400).selectExpr("id", "cast(id % 9 as double) AS x", "concat('t', id % 3) AS t",
+                                        "cast(id % 9 > 4 as string) AS told")
+    task = jobs.TableTask("few", table, "told", "classification", ("id",))
+    levels, mark = [], jobs.code_categories
+    monkeypatch.setattr(jobs, "code_categories", lambda train, test, names: (
+        levels.append("InMemoryTableScan" in train._jdf.queryExecution().executedPlan().toString()),
+        mark(train, test, names))[1])
+    methods = {"B3_heuristic": "rules_runner"}
+    found = jobs.run_experiments(spark, [task], str(tmp_path / "r"), str(tmp_path / "p"), methods)
+    assert levels == [True] and found.count() == 1 and found.filter("accuracy is null").count() == 0
