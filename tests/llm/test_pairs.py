@@ -284,3 +284,26 @@ def test_lines_of_odd_rows(odd_docs):
 def test_text_without_its_dropped_lines(spark):
     table = spark.createDataFrame([("a\nb\nc", [1]), ("a", [0]), ("a\n\nb", [])], "t string, d array<int>")
     assert [r[0] for r in table.select(without_lines(table.t, table.d)).collect()] == ["a\nc", "", "a\n\nb"]
+
+
+def test_only_shared_keys_of_lines_are_joined(spark, monkeypatch):
+    """Every key of every line went through the join, though most are of one line."""
+    from tablewright.llm import line_dedup
+
+    rows = [(i, 0, [1_000 * i + k for k in range(40)] + [7, i // 100]) for i in range(1, 301)] + [(None, 1, [3, 4])]
+    sketches = spark.createDataFrame(rows, "id long, place int, keys array<bigint>")
+    passed, thin = [], line_dedup.possibly_in
+    monkeypatch.setattr(line_dedup, "possibly_in", lambda *given: passed.append(thin(*given)) or passed[-1])
+    found = line_dedup._shared_keys(sketches)
+    assert sorted((r["id"], r["key"]) for r in found.collect()) == sorted(
+        (i, key) for i in range(1, 301) for key in (7, i // 100) if (key < 3 or key == 7))
+    assert passed[0].count() < 1_500
+
+
+def test_repeated_ids_keep_their_own_first_lines(spark):
+    """Two rows of one id have different lines at one place: each is a node of its own."""
+    line = "the quick brown fox jumps over the lazy dog again and again"
+    rows = [(1, line), (1, "another text of quite different words stands in this row"), (2, line + " x"),
+            (3, "another text of quite different words stands in this Row")]
+    found = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["dropped"]) for r in found) == [(1, []), (1, []), (2, [0]), (3, [0])]
