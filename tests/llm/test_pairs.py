@@ -307,3 +307,63 @@ def test_repeated_ids_keep_their_own_first_lines(spark):
             (3, "another text of quite different words stands in this Row")]
     found = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["dropped"]) for r in found) == [(1, []), (1, []), (2, [0]), (3, [0])]
+
+
+def letters(random, size):
+    return "".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), size))
+
+
+def test_lines_that_quote_one_passage_do_not_all_meet(spark, monkeypatch):
+    """Every two lines of a shared key met, though the first line of the key had settled none."""
+    from tablewright.llm import line_dedup
+
+    random = np.random.default_rng(11)
+    passage = [letters(random, 7) for _ in range(12)]
+    lines = [" ".join([letters(random, 7) for _ in range(18)] + passage + [letters(random, 7) for _ in range(18)])
+             for _ in range(150)]
+    lines.append(lines[77].replace(" ", "  ", 3)[:-4] + "else")
+    met, confirm = [], line_dedup._confirmed
+    monkeypatch.setattr(line_dedup, "_confirmed", lambda *given: met.append(given[0].count()) or confirm(*given))
+    found = dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["dropped"] for r in found} == {i: [0] if i == 150 else [] for i in range(151)}
+    assert sum(met) < 3_000
+
+
+def test_keys_of_a_line_are_few_and_similar_lines_share_one(spark):
+    """A line had up to 48 keys. Every tenth character changed at a random place is the worst case."""
+    from tablewright.llm import line_dedup
+
+    random = np.random.default_rng(12)
+    rows, bands = [], ((45, 90), (100, 160), (160, 400), (400, 1_500))
+    for k, (least, most) in enumerate(bands):
+        for i in range(100):
+            size, blanks = random.integers(least, most), i % 4 > 0  # one in four has no blanks
+            line, text = [], letters(random, size)
+            while text:
+                n = random.integers(2, 11)
+                line.append(text[:n])
+                text = text[n:]
+            line = (" " if blanks else "").join(line)
+            other = list(line)
+            for at in random.choice(len(other), len(other) // 10, replace=False):
+                other[at] = letters(random, 1)
+            rows += [(2_000 * k + 2 * i, 0, line), (2_000 * k + 2 * i + 1, 0, "".join(other))]
+    sketches = line_dedup.sketched(spark.createDataFrame(rows, "id long, place int, line string"))
+    keys = {r["id"]: set(r["keys"]) for r in sketches.select("id", "keys").collect()}
+    assert max(map(len, keys.values())) <= 4 * line_dedup.KEYS < 96
+    assert sum(map(len, keys.values())) < 24 * len(keys)
+    for k in range(len(bands)):
+        assert sum(bool(keys[2_000 * k + 2 * i] & keys[2_000 * k + 2 * i + 1]) for i in range(100)) >= 90
+
+
+def test_equal_ends_add_no_edits(spark):
+    from tablewright.llm import line_dedup
+
+    rows = [("", ""), ("a", ""), ("abcdefgh", "abcdefgh"), ("über den Berg", "über dem Berg"), ("aaaa", "aaaaaa"),
+            ("x" * 50 + "one" + "y" * 70, "x" * 50 + "three" + "y" * 70), ("abab", "baba"), ("𝔞bc𝔡e", "𝔞bcde")]
+    from pyspark.sql import functions as F
+    table = spark.createDataFrame(rows, "x string, y string")
+    rest = table.withColumn("rest", line_dedup._uneven("x", "y")[0])
+    found = rest.select(F.levenshtein("x", "y").alias("n"), F.levenshtein("rest.x", "rest.y").alias("m")).collect()
+    assert [r["m"] for r in found] == [r["n"] for r in found]
+    assert sum(len(r["rest"]["x"]) for r in rest.collect()) < 60
