@@ -209,3 +209,16 @@ def test_a_single_split_marks_its_rows_once(spark, tmp_path, monkeypatch):
     methods = {"B3_heuristic": "rules_runner"}
     found = jobs.run_experiments(spark, [task], str(tmp_path / "r"), str(tmp_path / "p"), methods)
     assert levels == [True] and found.count() == 1 and found.filter("accuracy is null").count() == 0
+
+
+def test_the_large_table_fits_the_rounds_of_its_specifications(spark, folder, monkeypatch):
+    """The query overrode the 100 rounds of every booster's specification by 20."""
+    import checks.jobs as registered
+
+    fitted = {}
+    monkeypatch.setattr(jobs, "run_one", lambda task, method, spec, *rest, **more: fitted.update({method: spec}) or {
+        "run_id": "", "dataset": task.name, "method": method, "fold": None})
+    registered.run_large_table(spark, folder)
+    assert set(fitted) == set(jobs.METHODS)
+    rounds = {m: s["hyperparameters"]["n_estimators"] for m, s in fitted.items() if s["model"] != "LogisticRegression"}
+    assert len(rounds) == 3 and set(rounds.values()) == {100}, fitted
