@@ -90,3 +90,20 @@ def test_rows_end_where_walking_each_ends(monkeypatch, few):
                 node = (tree[2] if bins[tree[0][node], row] < tree[1][node] else tree[3])[node]
             at.append(node)
         assert blocks.end_nodes(bins, *tree, rows).tolist() == at and set(at) == {2, 5, 6}
+
+
+def test_files_of_blocks_are_short(spark, monkeypatch):
+    """A file had all blocks of a partition, which its reader held at once: a heap of 1,500 MB did not last for
+    six times sf0.1."""
+    from pyarrow import parquet
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(boosting, "CHECKPOINT_ROUNDS", 1)
+    made, write = [], blocks.materialize
+    for module in (blocks, boosting):
+        monkeypatch.setattr(module, "materialize", lambda *given: made.append(write(*given)) or made[-1])
+    rows = spark.range(0, 4000, 1, 2).selectExpr("array(cast(id % 50 as double)) AS x", "cast(id % 50 > 20 as double) AS y")
+    boosting.fit_boosting(rows, "x", "y", boosting.LOGISTIC, 2, boosting.Growth(rounds=2))
+    files = [parquet.ParquetFile(path.removeprefix("file:")).metadata.num_rows for table in made for path in table.inputFiles()]
+    assert len(made) == 3 and sum(files) == 3 * 4000 // 20
+    assert max(files) <= 8
