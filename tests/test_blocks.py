@@ -107,3 +107,23 @@ def test_files_of_blocks_are_short(spark, monkeypatch):
     files = [parquet.ParquetFile(path.removeprefix("file:")).metadata.num_rows for table in made for path in table.inputFiles()]
     assert len(made) == 3 and sum(files) == 3 * 4000 // 20
     assert max(files) <= 8
+
+
+def test_many_open_nodes_are_counted_in_several_passes(spark, monkeypatch):
+    """The histograms of all open nodes of a level were held by each task at once."""
+    random = np.random.default_rng(4)
+    x = random.integers(0, 40, (3_000, 3))
+    frame = pd.DataFrame({"x": x.astype(float).tolist(), "y": random.integers(0, 2, len(x)).astype(float)})
+    rows = spark.createDataFrame(frame, "x array<double>, y double").persist()
+    passes, level = [], forest._level
+    monkeypatch.setattr(forest, "_level", lambda data, first, uppers, taken, *more: (
+        passes.append(sum(map(len, taken.values()))), level(data, first, uppers, taken, *more))[1])
+    shown = lambda found: [[(n.feature, n.bin, n.sums, n.value) for n in tree] for tree in found.uppers]
+    for classes in (2, 0):
+        growth = forest.ForestGrowth(trees=3, local_rows=300)
+        monkeypatch.setattr(forest, "HISTOGRAM_CELLS", 1 << 24)
+        whole = shown(forest.fit_forest(rows, "x", "y", classes, growth))
+        monkeypatch.setattr(forest, "HISTOGRAM_CELLS", 5 * 256 * 4)
+        passes.clear()
+        assert shown(forest.fit_forest(rows, "x", "y", classes, growth)) == whole
+        assert len(passes) > 5 and max(passes) <= 6
