@@ -370,3 +370,52 @@ def test_equal_ends_add_no_edits(spark):
     found = rest.select(F.levenshtein("x", "y").alias("n"), F.levenshtein("rest.x", "rest.y").alias("m")).collect()
     assert [r["m"] for r in found] == [r["n"] for r in found]
     assert sum(len(r["rest"]["x"]) for r in rest.collect()) < 60
+
+
+def test_all_lines_of_a_crowd_are_still_to_meet(spark):
+    """Lines with ten keys elsewhere met only the first line of a key that more than fifty have."""
+    from tablewright.llm import line_dedup
+
+    rows = [(7, i, i, 16, (100, 20)) for i in range(60)] + [(8, i, i, 16, (100, 20)) for i in range(4)] + [
+        (9, i, 1, 16, (100, 20)) for i in range(70)] + [(10, i, i, 16, (100, 20)) for i in range(2)]
+    placed = spark.createDataFrame(rows, "key long, node long, component long, n_keys int, look struct<chars:int,words:int>")
+    found = line_dedup._unsettled(placed).groupBy("key").count().collect()
+    assert {r["key"]: r["count"] for r in found} == {7: 60, 8: 4}
+
+
+def test_grams_of_crowded_lines_rule_out_no_similar_pair(spark):
+    from pyspark.sql import functions as F
+
+    from tablewright.llm import line_dedup
+
+    random = np.random.default_rng(13)
+    rows = []
+    for i in range(60):
+        line = list(letters(random, int(random.integers(9, 1_900))))
+        other, most = list(line), len(line) // 10
+        for at in random.choice(len(line), most, replace=False):
+            other[at] = ["", letters(random, 1), letters(random, 1) + other[at]][i % 3]
+        rows += [(i, "".join(line), "".join(other)), (100 + i, "".join(line), "".join(random.permutation(line)))]
+    rows.append((99, "ab", "abc"))
+    pairs = spark.createDataFrame(rows, "n int, x string, y string")
+    for name in ("x", "y"):
+        bits = line_dedup.gram_bits(pairs.select(F.concat("n", F.lit(name)).alias("h"), F.col(name).alias("line")))
+        pairs = pairs.join(bits.withColumnsRenamed({"h": "k"}), F.concat("n", F.lit(name)) == F.col("k"), "left").drop("k")
+        look = F.struct(F.length(name).alias("chars"), F.lit(1).alias("words")).alias("look")
+        pairs = pairs.withColumn(f"_{name}", F.struct(look, "bits")).drop("bits")
+    pairs = pairs.withColumn("ok", F.levenshtein("x", "y") <= F.floor(F.greatest(F.length("x"), F.length("y")) * 0.1 + 1e-6))
+    found = pairs.withColumn("fit", line_dedup._grams_fit("_x", "_y", 0.9)).select("n", "ok", "fit", "x").collect()
+    assert all(r["fit"] for r in found if r["ok"]) and sum(r["ok"] for r in found) >= 60
+    assert not any(r["fit"] for r in found if r["n"] >= 100 and 60 <= len(r["x"]) <= 700)
+
+
+def test_shuffle_files_go_with_their_step(spark, monkeypatch):
+    """The shuffle files of all steps stayed until the driver's collector came."""
+    from tablewright.llm import line_dedup
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen, write = spark.conf.get(name), [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda *given: seen.append((given[1], spark.conf.get(name))) or write(*given))
+    rows = [(1, "one line of five words"), (2, "one line of five words")]
+    assert [r["dropped"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [[], [0]]
+    assert {on for step, on in seen if step != "drops"} == {"true"} and spark.conf.get(name) == before
